@@ -390,7 +390,7 @@ def q_sent_and_original(spark, sf):
 
 
 def q_sentiment_scores(spark, sf):
-    turns = derived.table(spark, sf, "conversations")
+    turns = derived.spread(derived.table(spark, sf, "conversations"))
     scored = sentiment.sentiment_scores(turns, ["conv_id", "turn"], "text", lexicon(spark))
     return scored.select(
         "conv_id",

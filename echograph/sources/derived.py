@@ -20,6 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt over all cores.
+
+    Only small tables are; a large one has splits enough and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _authored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event with what it says about itself, without its text."""
     number = F.get_json_object("props", "$.k").cast("long")
@@ -57,7 +66,7 @@ def _referring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("author").alias("ref_author"),
         F.col("handle").alias("ref_handle"),
     )
-    return events.join(target, "parent_id", "left").select(
+    return spread(events).join(target, "parent_id", "left").select(
         "*",
         (F.col("event_type") == "click").alias("reshares"),
         (
