@@ -81,11 +81,23 @@ def _if(flag: str, column: str) -> Column:
     return F.when(F.col(flag), F.col(column))
 
 
-def _with_text(events: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+def _with_text(
+    events: DataFrame,
+    spark: SparkSession,
+    sf_dir: str,
+    of: str = "event_id",
+    wanted: Column | None = None,
+    prefix: str = "",
+) -> DataFrame:
+    """Text and language of the event in column ``of``, where wanted."""
     documents = table(spark, sf_dir, "documents")
-    texts = documents.select(F.col("doc_id").alias("text_key"), "text", "lang")
-    keyed = events.withColumn("text_key", F.col("event_id") % F.lit(documents.count()))
-    return keyed.join(texts, "text_key", "left").drop("text_key")
+    texts = documents.select(
+        F.col("doc_id").alias("text_key"), F.col("text").alias(prefix + "text"), F.col("lang").alias(prefix + "lang")
+    )
+    key = F.col(of) % F.lit(documents.count())
+    if wanted is not None:
+        key = F.when(wanted, key).otherwise(-1 - F.col("event_id"))
+    return events.withColumn("text_key", key).join(texts, "text_key", "left").drop("text_key")
 
 
 def flat_posts(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
@@ -176,14 +188,20 @@ def _body(prefix: str = "") -> list[Column]:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full nested posts with their embedded posts, and ``day``."""
-    events = _with_text(_referring(spark, sf_dir), spark, sf_dir)
+    """Full nested posts with their embedded posts, and ``day``.
+
+    Events meet on narrow rows; texts come last, so that little of them moves.
+    """
+    events = _referring(spark, sf_dir)
     embedded = [
-        "id_str", "created_at", "author", "handle", "event_type", "lang", "text",
+        "id_str", "created_at", "author", "handle", "event_type",
         "replies", "quotes", "ref_id", "ref_time", "ref_author", "ref_handle",
     ]
     parent = events.select(F.col("event_id").alias("parent_id"), *[F.col(c).alias("p_" + c) for c in embedded])
     joined = events.join(parent, "parent_id", "left")
+    embeds = F.col("p_id_str").isNotNull() & (F.col("reshares") | F.col("quotes"))
+    joined = _with_text(joined, spark, sf_dir, "parent_id", embeds, "p_")
+    joined = _with_text(joined, spark, sf_dir)
 
     parent_author = _author("p_author", "p_handle").alias("user")
     parent_quote = F.when(
