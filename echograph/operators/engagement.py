@@ -93,17 +93,18 @@ def engagement_rate(posts: DataFrame, cand: DataFrame | None = None, order: str
 
     ``posts`` are taken as one batch, as one day folder would be.
     """
-    rows = _only(posts, cand)
+    rows = of_users(posts, cand)
     return _rates(rows, ["user_id_str"], order, []).select(*PROFILE_COLUMNS, "retweets_count", "ier")
 
 
 def backfill_engagement_rate(posts: DataFrame, cand: DataFrame, order: str = "string") -> DataFrame:
     """Engagement rate on the newest day that has the candidate."""
-    rates = _rates(_only(posts, cand), ["day", "user_id_str"], order, [F.desc("day")])
+    rates = _rates(of_users(posts, cand), ["day", "user_id_str"], order, [F.desc("day")])
     return rates.select("day", *PROFILE_COLUMNS, "retweets_count", "ier")
 
 
-def _only(posts: DataFrame, cand: DataFrame | None) -> DataFrame:
+def of_users(posts: DataFrame, cand: DataFrame | None) -> DataFrame:
+    """Nested posts of the given users, or all of them."""
     if cand is None:
         return posts
     wanted = cand.select("user_id_str")

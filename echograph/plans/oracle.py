@@ -305,6 +305,18 @@ FROM scored GROUP BY {key}""",
 
 
 ORACLE: dict[str, str] = {
+    "archive_influencers": _with(
+        *MATCHED,
+        f"flat AS (SELECT DISTINCT {FLAT_COLUMNS}, day FROM hit)",
+        ROWS,
+        PAIRS,
+        EDGES,
+        HANDLES,
+        *_influence(),
+        TOP_RANKS,
+        select="""SELECT users, round(rank, 9) AS rank, user_twitter_handle
+FROM top LEFT JOIN handles ON user_id_str = users""",
+    ),
     "read_posts": _with(*FLAT, select="SELECT id_str, user_id_str, created_at, text FROM flat"),
     "read_days": _with(EV, select="SELECT day, count(*) AS n_posts FROM ev GROUP BY day"),
     "posts_json_roundtrip": _with(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echograph.operators import engagement, graph, intake, profiles, ranking, sentiment
+from echograph.plans import jobs
 from echograph.schema import FLAT, HANDLE, INTERACTION_ROW, ORIGINAL_ROW, PAIR, PROFILE_COLUMNS
 from echograph.sources import derived
 from echograph.sources.posts import read_days, read_posts, write_days
@@ -96,6 +97,15 @@ def q_read_posts(spark, sf):
     )
 
 
+def q_archive_influencers(spark, sf):
+    """Both jobs over the archive: day folders to files to ranked users."""
+    template = write_days(derived.posts(spark, sf), fresh_path(spark, "posts"))
+    out = fresh_path(spark, "out")
+    jobs.intake_job(spark, template, _all_days(spark, sf), TERMS, out)
+    top = jobs.ranking_job(spark, out, out + "/ranked", TOP)
+    return top.select("users", _round("rank"), "user_twitter_handle")
+
+
 def _all_days(spark, sf) -> list[str]:
     """Days between the first and the last event: one row of two dates."""
     first, last = derived.own_posts(spark, sf).agg(F.min("day"), F.max("day")).first()
