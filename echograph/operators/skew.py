@@ -6,29 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: A table of fewer rows per core than this is laid out in one partition per core.
+SMALL_ROWS_PER_CORE = 1_000_000
 
 
-def heavy_keys(df: DataFrame, key: str) -> DataFrame | None:
-    """Keys with more rows than an average shuffle partition, as ``key, parts``.
+def partitions(df: DataFrame, rows: int) -> int:
+    """Partitions to keep ``rows`` rows in: the session's shuffle partitions, so
+    that joins with shuffled tables find the same layout, or one per core where
+    the table is too small to be worth more."""
+    spark = df.sparkSession
+    shuffle, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    return min(shuffle, cores) if rows < cores * SMALL_ROWS_PER_CORE else shuffle
 
-    ``parts`` is how many average partitions the key fills.  At most as many keys
-    as there are partitions can qualify, so the list is safe to bring to the
-    driver and to broadcast.  None when no key qualifies, the usual case.  Reads
-    ``df`` twice (count, then counts per key): pass a stored or cached table.
+
+def heavy_keys(df: DataFrame, key: str, rows: int | None = None) -> DataFrame | None:
+    """Keys with more rows than an average partition, as ``key, parts``.
+
+    ``parts`` is how many average partitions the key fills.  Fewer keys than
+    there are partitions can qualify, so the list is safe to bring to the driver
+    and to broadcast.  None when no key qualifies, the usual case.  Reads ``df``
+    once, and once more to count it if ``rows`` is not given: pass a stored or
+    cached table.
     """
-    average = df.count() / partitions(df)
+    rows = df.count() if rows is None else rows
+    average = max(rows / partitions(df, rows), 1.0)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    rows = (
-        counts.filter(F.col("rows") > F.lit(max(average, 1.0)))
-        .select(key, F.ceil(F.col("rows") / F.lit(max(average, 1.0))).cast("int").alias("parts"))
+    heavy = (
+        counts.filter(F.col("rows") > F.lit(average))
+        .select(key, F.ceil(F.col("rows") / F.lit(average)).cast("int").alias("parts"))
         .collect()
     )
-    if not rows:
+    if not heavy:
         return None
-    schema = counts.select(key, F.lit(1).alias("parts")).schema
-    return df.sparkSession.createDataFrame(rows, schema)
+    return df.sparkSession.createDataFrame(heavy, counts.select(key, F.lit(1).alias("parts")).schema)
 
 
 def split_keys(key: str, heavy: DataFrame | None) -> list[str]:

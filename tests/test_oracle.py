@@ -1,0 +1,43 @@
+"""Every query against its SQL on the smallest tables."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import pytest
+from conftest import SF_DIR
+
+import __spark_entry__ as contract
+
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for file in Path(SF_DIR).glob("*.parquet"):
+        connection.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM read_parquet('{file}')")
+    return connection
+
+
+def test_every_query_has_its_sql():
+    assert set(contract.queries()) == set(contract.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_query_equals_sql(spark, duck, name):
+    df = contract.queries()[name](spark, SF_DIR)
+    cursor = duck.execute(contract.oracle_sql()[name])
+    types = {d[0]: str(d[1]) for d in cursor.description}
+    assert {c: TYPES[t] for c, t in df.dtypes} == types
+    columns = list(types)
+    found = sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+    assert found == sorted(cursor.fetchall(), key=str)
+
+
+def test_entry_is_the_flagship(spark):
+    top = contract.entry(spark)
+    assert top.columns == ["users", "rank", "user_twitter_handle"]
+    ranks = [r["rank"] for r in top.collect()]
+    assert ranks == sorted(ranks, reverse=True) and ranks
