@@ -3,22 +3,32 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
 def term_pattern(terms: Sequence[str], unicode_case: bool = False) -> str:
     """One case-insensitive alternation over literal terms.
 
     Java folds ASCII only under ``(?i)``; ``unicode_case`` also folds accented
     letters, so that an upper-case accented term is found.
+
+    The pattern tells whether any term occurs, no more, so a term that contains
+    another one is left out, and a look at one character comes before the terms.
     """
-    if not terms:
-        raise ValueError("at least one term is needed")
+    if not terms or "" in terms:
+        raise ValueError("at least one term is needed, and none may be empty")
+    folded = list(dict.fromkeys(term.translate(_ASCII_LOWER) for term in terms))
+    needed = [t for t in folded if not any(other != t and other in t for other in folded)]
+    first = "".join(dict.fromkeys(re.escape(t[0]) for t in needed))
     flags = "(?iu)" if unicode_case else "(?i)"
-    return flags + "|".join(re.escape(term) for term in terms)
+    return f"{flags}(?=[{first}])(?:{'|'.join(map(re.escape, needed))})"
 
 
 def mentions(text: Column, tags: Column, terms: Sequence[str], unicode_case: bool = False) -> Column:

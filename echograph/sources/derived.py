@@ -81,23 +81,15 @@ def _if(flag: str, column: str) -> Column:
     return F.when(F.col(flag), F.col(column))
 
 
-def _with_text(
-    events: DataFrame,
-    spark: SparkSession,
-    sf_dir: str,
-    of: str = "event_id",
-    wanted: Column | None = None,
-    prefix: str = "",
-) -> DataFrame:
-    """Text and language of the event in column ``of``, where wanted."""
+def _texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Texts by document number, and how many there are."""
     documents = table(spark, sf_dir, "documents")
-    texts = documents.select(
-        F.col("doc_id").alias("text_key"), F.col("text").alias(prefix + "text"), F.col("lang").alias(prefix + "lang")
-    )
-    key = F.col(of) % F.lit(documents.count())
-    if wanted is not None:
-        key = F.when(wanted, key).otherwise(-1 - F.col("event_id"))
-    return events.withColumn("text_key", key).join(texts, "text_key", "left").drop("text_key")
+    return documents.select(F.col("doc_id").alias("text_key"), "text", "lang"), documents.count()
+
+
+def _with_text(events: DataFrame, texts: DataFrame, key: Column, prefix: str = "") -> DataFrame:
+    named = texts.select("text_key", F.col("text").alias(prefix + "text"), F.col("lang").alias(prefix + "lang"))
+    return events.withColumn("text_key", key).join(named, "text_key", "left").drop("text_key")
 
 
 def flat_posts(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame:
@@ -108,7 +100,8 @@ def flat_posts(spark: SparkSession, sf_dir: str, text: bool = True) -> DataFrame
     """
     events = _referring(spark, sf_dir)
     if text:
-        events = _with_text(events, spark, sf_dir)
+        texts, n = _texts(spark, sf_dir)
+        events = _with_text(events, texts, F.col("event_id") % F.lit(n))
     else:
         events = events.select("*", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"))
     flat = dict(
@@ -200,8 +193,10 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = events.select(F.col("event_id").alias("parent_id"), *[F.col(c).alias("p_" + c) for c in embedded])
     joined = events.join(parent, "parent_id", "left")
     embeds = F.col("p_id_str").isNotNull() & (F.col("reshares") | F.col("quotes"))
-    joined = _with_text(joined, spark, sf_dir, "parent_id", embeds, "p_")
-    joined = _with_text(joined, spark, sf_dir)
+    texts, n = _texts(spark, sf_dir)
+    parent_text = F.when(embeds, F.col("parent_id") % F.lit(n)).otherwise(-1 - F.col("event_id"))
+    joined = _with_text(joined, texts, parent_text, "p_")
+    joined = _with_text(joined, texts, F.col("event_id") % F.lit(n))
 
     parent_author = _author("p_author", "p_handle").alias("user")
     parent_quote = F.when(

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import re
 from datetime import date
 
 import pytest
@@ -70,9 +71,21 @@ def test_accented_upper_case_needs_unicode_case(spark):
     assert table(I.keyword_filter(df, ["pokémon"], unicode_case=True), "id_str") == [("1",), ("2",)]
 
 
-def test_an_empty_term_list_is_refused():
+@pytest.mark.parametrize("terms", [[], [""], ["game", ""]])
+def test_empty_terms_are_refused(terms):
     with pytest.raises(ValueError):
-        term_pattern([])
+        term_pattern(terms)
+
+
+def test_short_pattern_finds_what_a_plain_alternation_finds(spark):
+    texts = ["legends of ARCEUS", "Pokémon", "POKÉMON", "video  games", "a-b]c^", "A-B]C^", "none", "poke mon", "twitchy", "^x"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for terms in (INTAKE_TERMS, TOPIC_TERMS, ["a-b]c^", "^x", "-", "x"]):
+        for unicode_case in (False, True):
+            flags = "(?iu)" if unicode_case else "(?i)"
+            plain = flags + "|".join(re.escape(t) for t in terms)
+            short = term_pattern(terms, unicode_case)
+            assert df.filter(df.text.rlike(plain) != df.text.rlike(short)).count() == 0
 
 
 def test_term_lists():
