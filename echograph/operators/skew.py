@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 #: A table of fewer rows per core than this is laid out in one partition per core.
 SMALL_ROWS_PER_CORE = 1_000_000
 
+#: Hot keys are cut into parts of this share of an average partition.  Parts fall
+#: on partitions by hash, so smaller ones even out better; each costs one copy of
+#: the other side's row.
+PARTS_PER_PARTITION = 16
+
 
 def partitions(df: DataFrame, rows: int) -> int:
     """Partitions to keep ``rows`` rows in: the session's shuffle partitions, so
@@ -22,8 +27,8 @@ def partitions(df: DataFrame, rows: int) -> int:
 def heavy_keys(df: DataFrame, key: str, rows: int | None = None) -> DataFrame | None:
     """Keys with more rows than an average partition, as ``key, parts``.
 
-    ``parts`` is how many average partitions the key fills.  Fewer keys than
-    there are partitions can qualify, so the list is safe to bring to the driver
+    ``parts`` says into how many pieces the key is cut.  Fewer keys than there
+    are partitions can qualify, so the list is safe to bring to the driver
     and to broadcast.  None when no key qualifies, the usual case.  Reads ``df``
     once, and once more to count it if ``rows`` is not given: pass a stored or
     cached table.
@@ -31,11 +36,8 @@ def heavy_keys(df: DataFrame, key: str, rows: int | None = None) -> DataFrame |
     rows = df.count() if rows is None else rows
     average = max(rows / partitions(df, rows), 1.0)
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    heavy = (
-        counts.filter(F.col("rows") > F.lit(average))
-        .select(key, F.ceil(F.col("rows") / F.lit(average)).cast("int").alias("parts"))
-        .collect()
-    )
+    parts = F.ceil(F.col("rows") * F.lit(PARTS_PER_PARTITION) / F.lit(average)).cast("int")
+    heavy = counts.filter(F.col("rows") > F.lit(average)).select(key, parts.alias("parts")).collect()
     if not heavy:
         return None
     return df.sparkSession.createDataFrame(heavy, counts.select(key, F.lit(1).alias("parts")).schema)
@@ -75,8 +77,9 @@ def balanced_join(
 ) -> DataFrame:
     """Join ``many`` rows per key with at most ``one`` row per key.
 
-    Without heavy keys this is a plain equi-join, left to Spark.  With them, no
-    task gets more than about one average partition of a key's rows.
+    Without heavy keys this is a plain equi-join, left to Spark.  With them, a
+    heavy key's rows are spread over the tasks in parts well below an average
+    partition.
     """
     left, right = split_rows(many, key, by, heavy), repeat_rows(one, key, heavy)
     return left.join(right, split_keys(key, heavy), how).drop("part")

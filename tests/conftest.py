@@ -4,12 +4,12 @@ import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import Row, SparkSession
+from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 
-from echograph.schema import FLAT, POST  # noqa: E402
+from echograph.schema import POST  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -120,6 +120,3 @@ def pairs(spark, *rows: tuple[str, str, int]):
 
 def weights(spark, *rows: tuple[str, str, float]):
     return spark.createDataFrame([(a, b, float(w)) for a, b, w in rows], "from_user string, to_user string, weight double")
-
-
-__all__ = ["FLAT", "Row"]

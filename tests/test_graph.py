@@ -56,10 +56,12 @@ def test_an_author_of_most_pairs_is_split(spark):
     rows = [("hub", f"t{i:04}", 1 + i % 3) for i in range(2000)] + [(f"u{i}", "hub", 2) for i in range(100)]
     df = pairs(spark, *rows)
     heavy = skew.heavy_keys(df, "from_user")
-    assert [(r["from_user"], r["parts"]) for r in heavy.collect()] == [("hub", 8)]
+    average = df.count() / 8
+    [(key, parts)] = [tuple(r) for r in heavy.collect()]
+    assert key == "hub" and parts >= 8
     dealt = skew.split_rows(df, "from_user", "to_user", heavy)
     sizes = [r["count"] for r in dealt.filter("from_user = 'hub'").groupBy("part").count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 400
+    assert len(sizes) == parts and sum(sizes) == 2000 and max(sizes) < average / 2
     total = sum(n for a, _, n in rows if a == "hub")
     expected = sorted((a, b, n / (total if a == "hub" else 2)) for a, b, n in rows)
     found = table(G.edge_weights(df))
