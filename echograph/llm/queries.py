@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echograph.llm import cleaning, mixing
+from echograph.llm import chat, cleaning, decontamination, fixity, mixing, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,11 +26,41 @@ def op2_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.judged(_table(spark, sf_dir, "documents"))
 
 
+def op3_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged records of a second replica of the pages' archive, whose decay follows from the page ids."""
+    layout, replica = fixity.two_replicas(_table(spark, sf_dir, "pages"))
+    return fixity.audited(layout, replica).select("page_id", "status", "length", "expected", "found")
+
+
+def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the token files."""
+    import public_tokenizers
+
+    files = tokens.token_files(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokens.read_back(files)
+
+
+def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.rendered(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_cleaning": op2_line_cleaning,
+    "op3_fixity_audit": op3_fixity_audit,
+    "op5_fm_decontamination": op5_fm_decontamination,
+    "op6_token_files": op6_token_files,
+    "op7_snapshot_collapse": op7_snapshot_collapse,
 }
 
 ORACLE: dict[str, str] = {
     "op2_line_cleaning": cleaning.ORACLE,
+    "op3_fixity_audit": fixity.ORACLE,
+    "op5_fm_decontamination": decontamination.ORACLE,
+    "op7_snapshot_collapse": chat.ORACLE,
 }
