@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echograph.llm import chat, cleaning, decontamination, fixity, mixing, tokens
+from echograph.llm import chat, cleaning, decontamination, fixity, mixing, privacy, secretscan, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,6 +49,15 @@ def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(_table(spark, sf_dir, "conversations"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.personal_data(_table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with the forest's score and verdict."""
+    return secretscan.scored(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_cleaning": op2_line_cleaning,
@@ -56,6 +65,8 @@ QUERIES: dict[str, Query] = {
     "op5_fm_decontamination": op5_fm_decontamination,
     "op6_token_files": op6_token_files,
     "op7_snapshot_collapse": op7_snapshot_collapse,
+    "op8_personal_data": op8_personal_data,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE: dict[str, str] = {
