@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echograph.llm import chat, cleaning, decontamination, fixity, mixing, privacy, secretscan, tokens
+from echograph.llm import chat, cleaning, decontamination, fixity, jaccard, mixing, privacy, secretscan, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +53,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.joined(_table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate with the forest's score and verdict."""
     return secretscan.scored(_table(spark, sf_dir, "documents"))
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op6_token_files": op6_token_files,
     "op7_snapshot_collapse": op7_snapshot_collapse,
     "op8_personal_data": op8_personal_data,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
 }
 
@@ -74,4 +79,5 @@ ORACLE: dict[str, str] = {
     "op3_fixity_audit": fixity.ORACLE,
     "op5_fm_decontamination": decontamination.ORACLE,
     "op7_snapshot_collapse": chat.ORACLE,
+    "op9_jaccard_join": jaccard.ORACLE,
 }
