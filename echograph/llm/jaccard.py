@@ -364,6 +364,19 @@ def joined(docs: DataFrame, id_column: str = "doc_id", **how) -> DataFrame:
     return Join(docs, id_column, **how).membership().withColumnRenamed("id", id_column)
 
 
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", **how) -> DataFrame:
+    """One document of each component, the one with the smallest id; columns as in ``docs``.
+
+    Rows are numbered in a stored copy, so rows of one id stay apart; of equal
+    rows the first stays.  Documents without words all stay.  ``docs`` must not
+    have a column ``__row``.
+    """
+    numbered = stored(docs.select(F.struct(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("n")).alias("__row"), *docs.columns), "numbered")
+    members = Join(numbered, "__row", **how).membership()
+    kept = members.filter("id = component_id").select(F.col("id.n").alias("__n"))
+    return numbered.join(kept, F.col("__row.n") == F.col("__n"), "left_semi").select(*docs.columns)
+
+
 #: The query's columns in SQL.
 ORACLE = rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echograph.llm import chat, cleaning, decontamination, fixity, jaccard, mixing, privacy, secretscan, tokens
+import corpus_pipeline
+from echograph.llm import chat, cleaning, decontamination, fixity, jaccard, mixing, privacy, scoring, secretscan, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,10 @@ def op3_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audited(layout, replica).select("page_id", "status", "length", "expected", "found")
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(_table(spark, sf_dir, "documents"))
+
+
 def op5_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -62,16 +67,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scored(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_cleaning": op2_line_cleaning,
     "op3_fixity_audit": op3_fixity_audit,
+    "op4_language_model": op4_language_model,
     "op5_fm_decontamination": op5_fm_decontamination,
     "op6_token_files": op6_token_files,
     "op7_snapshot_collapse": op7_snapshot_collapse,
     "op8_personal_data": op8_personal_data,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_secret_scan": op10_secret_scan,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {
