@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from echograph.llm import chat, cleaning, decontamination, fixity, jaccard, mixing, privacy, scoring, secretscan, tokens
+from echograph.llm.shipping import on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,17 +74,20 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "op1_mix_sources": op1_mix_sources,
-    "op2_line_cleaning": op2_line_cleaning,
-    "op3_fixity_audit": op3_fixity_audit,
-    "op4_language_model": op4_language_model,
-    "op5_fm_decontamination": op5_fm_decontamination,
-    "op6_token_files": op6_token_files,
-    "op7_snapshot_collapse": op7_snapshot_collapse,
-    "op8_personal_data": op8_personal_data,
-    "op9_jaccard_join": op9_jaccard_join,
-    "op10_secret_scan": op10_secret_scan,
-    "pipeline": pipeline,
+    query.__name__: on_workers(query)
+    for query in (
+        op1_mix_sources,
+        op2_line_cleaning,
+        op3_fixity_audit,
+        op4_language_model,
+        op5_fm_decontamination,
+        op6_token_files,
+        op7_snapshot_collapse,
+        op8_personal_data,
+        op9_jaccard_join,
+        op10_secret_scan,
+        pipeline,
+    )
 }
 
 ORACLE: dict[str, str] = {

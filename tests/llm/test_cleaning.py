@@ -1,0 +1,64 @@
+from __future__ import annotations
+
+import random
+
+from echograph.llm import cleaning
+
+from .conftest import plain_words
+
+NAV = "Home | News | Sport | About | Contact"
+
+
+def good(i: int) -> str:
+    return "This is sentence " + " ".join(f"w{i}x{k}" for k in range(12)) + "."
+
+
+
+def rows_of(docs):
+    return cleaning.judged(docs).collect()
+
+
+def test_odd_rows(odd):
+    rows = rows_of(odd)
+    assert len(rows) == odd.count() and rows[0].asDict().keys() >= {"doc_id", "n_words", "kept"}
+    texts = [r["text"] for r in odd.collect()]
+    assert sorted(r["n_words"] for r in rows) == sorted(len(plain_words(t)) for t in texts)
+    assert sorted(r["word_chars"] for r in rows) == sorted(sum(map(len, plain_words(t))) for t in texts)
+    assert not any(r["kept"] for r in rows if r["n_words"] < 10)
+
+
+def test_empty_table(documents):
+    assert rows_of(documents([])) == [] and cleaning.cleaned(documents([])).collect() == []
+
+
+def test_repeats_against_brute_force(documents):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    found = {r["doc_id"]: r["n_repeat_words"] for r in rows_of(documents(list(enumerate(texts))))}
+    for i, text in enumerate(texts):
+        words = text.split()
+        windows = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+        inside = {k + q for k, w in enumerate(windows) if windows.count(w) > 1 for q in range(5)}
+        assert found[i] == len(inside)
+
+
+def test_lines_are_judged_one_by_one(documents):
+    body = "\n".join(good(i) for i in range(10))
+    text = "\n".join([NAV, body, good(2), "ALL RIGHTS RESERVED by us.", "no end of sentence", "Buy!! Now!! Go!!"])
+    row = rows_of(documents([(1, text)]))[0]
+    assert (row["n_lines"], row["n_lines_kept"], row["n_dup_lines"], row["kept"]) == (15, 10, 1, True)
+    kept = cleaning.cleaned(documents([(1, text)])).collect()[0]
+    assert kept["text"] == body and kept["n_chars"] == len(body)
+
+
+def test_documents_that_lose_too_much_go(documents):
+    text = "\n".join([NAV + " | " + "Item %d" % i for i in range(9)] + [good(1)])
+    docs = documents([(1, text), (2, good(2)), (2, good(2))])
+    assert {r["doc_id"]: r["kept"] for r in rows_of(docs)} == {1: False, 2: True}
+    kept = cleaning.cleaned(docs)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == [2, 2]
+
+
+def test_clean_texts_stay_as_they_are(documents):
+    text = "  A line with spaces before it, and more words than ten in all.  \n\n Another line.\t\n"
+    assert cleaning.cleaned(documents([(5, text)])).collect()[0]["text"] == text

@@ -1,0 +1,74 @@
+from __future__ import annotations
+
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from echograph.llm import fixity
+
+
+@pytest.fixture
+def pages(spark):
+    def make(rows):
+        return spark.createDataFrame(rows, "page_id long, url string, html string, digest string, leaf long")
+
+    return make
+
+
+def layout_of(pages, **how):
+    record = fixity.record_text(F.col("page_id"), F.col("url"), F.col("html"))
+    named = pages.select("page_id", record.alias("r"))
+    return fixity.laid_out(named.select("page_id", F.sha2("r", 256).alias("digest"), F.octet_length("r").cast("long").alias("length")), **how)
+
+
+ROWS = [(i, f"http://h/{i}", "<p>" + "ä" * i, None, None) for i in range(300)] + [(None, None, None, "x", 1)] * 3 + [(5, None, "", None, None), (5, None, None, None, None)]
+
+
+def test_offsets_are_running_sums(pages):
+    rows = layout_of(pages(ROWS), shard_records=50).collect()
+    assert sum(r["copies"] for r in rows) == len(ROWS)
+    shards = {}
+    for r in sorted(rows, key=lambda r: r["leaf"]):
+        shards.setdefault(r["leaf"] >> fixity.PLACE_BITS, []).append(r)
+    assert len(shards) > 3
+    for own in shards.values():
+        at = 0
+        for r in own:
+            assert r["offset"] == at
+            at += r["length"]
+
+
+def test_planted_damage_is_found(pages):
+    layout = layout_of(pages(ROWS), shard_records=50)
+    gone, flipped = {7, 200}, {8, 31, 290}
+    replica = layout.filter(~F.coalesce(F.col("page_id").isin(gone), F.lit(False))).withColumn(
+        "digest", F.when(F.col("page_id").isin(flipped), F.reverse("digest")).otherwise(F.col("digest"))
+    )
+    found = {(r["page_id"], r["status"]) for r in fixity.audited(layout, replica).collect()}
+    assert found == {(i, "missing") for i in gone} | {(i, "corrupt") for i in flipped}
+    back = {(r["page_id"], r["status"]) for r in fixity.audited(replica, layout).collect()}
+    assert back == {(i, "extra") for i in gone} | {(i, "corrupt") for i in flipped}
+
+
+def test_equal_and_empty_archives_agree(pages):
+    layout = layout_of(pages(ROWS))
+    assert fixity.audited(layout, layout).collect() == []
+    empty = layout_of(pages([]))
+    assert fixity.audited(empty, empty).collect() == []
+    assert len(fixity.audited(layout, empty.limit(0)).collect()) == layout.count()
+
+
+def test_roots_are_hashes_of_hashes(spark):
+    leaves = spark.createDataFrame([("left", i, f"h{i}") for i in range(20)], "replica string, node long, hash string")
+    levels = fixity.tree(leaves)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    low = [sha(",".join(f"{i}:h{i}" for i in part)) for part in (range(16), range(16, 20))]
+    assert len(levels) == 3 and levels[-1].first()["hash"] == sha(f"0:{low[0]},1:{low[1]}")
+
+
+def test_only_differing_branches_are_read(spark):
+    rows = [(side, i, "bad" if side == "right" and i == 700 else f"h{i}") for side in ("left", "right") for i in range(1000)]
+    levels = fixity.tree(spark.createDataFrame(rows, "replica string, node long, hash string"))
+    found = fixity.differing(levels, "left", "right").collect()
+    assert [(r["node"], r["left_hash"], r["right_hash"]) for r in found] == [(700, "h700", "bad")]

@@ -1,0 +1,107 @@
+from __future__ import annotations
+
+import math
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from echograph.llm import scoring
+from echograph.llm.eliasfano import EliasFano, Trie, from_buffer, to_bytes
+
+from .conftest import folded, plain_words
+
+D = scoring.DISCOUNT
+
+
+def brute(rows):
+    """{key: expected} of (key, doc_id, text) rows, with exact probabilities."""
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for _, i, _ in rows]
+    texts = [[*plain_words(folded(t)), 0] for _, _, t in rows]
+    count, pairs, contexts, follows = Counter(), Counter(), Counter(), Counter()
+    for h, words in zip(held, texts, strict=True):
+        if not h:
+            count.update(words)
+            pairs.update(zip([1, *words], words, strict=False))
+    for (a, _), n in pairs.items():
+        contexts[a] += n
+        follows[a] += 1
+    n, v = sum(count.values()), len(count)
+    out = {}
+    for (key, _, _), h, words in zip(rows, held, texts, strict=True):
+        base = sum(math.log10((count[w] + 1) / (n + 1 * (v + 1))) for w in words)
+        score = 0.0
+        for a, b in zip([1, *words], words, strict=False):
+            if pairs[a, b]:
+                score += math.log10((pairs[a, b] - D) / contexts[a])
+            else:
+                score += (math.log10(D * follows[a] / contexts[a]) if contexts[a] else 0) + math.log10((count[b] + 1) / (n + v + 1))
+        out[key] = (h, len(words), sum(count[w] > 0 for w in words), n, base, score)
+    return out
+
+
+def check(found, want):
+    assert len(found) == len(want)
+    for r in found:
+        h, size, known, n, base, score = want[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (h, size, known, n)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
+        assert score - 0.05 * size <= r["score"] <= score + 1e-6
+
+
+@pytest.mark.parametrize("shard_tokens", [2_000_000, 300])
+def test_scores_against_brute_force(documents, shard_tokens):
+    rng = random.Random(7)
+    vocabulary = ["the", "The", "of", *(f"w{i}" for i in range(200))]
+    texts = [" ".join(rng.choice(vocabulary[: rng.choice([3, 30, 203])]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    rows = list(enumerate([*texts, None, "", "only here"]))
+    found = scoring.scored(documents(rows).repartition(3), shard_tokens=shard_tokens).collect()
+    check(found, brute([(i, i, t) for i, t in rows]))
+
+
+def test_odd_rows(odd):
+    found = scoring.scored(odd).collect()
+    rows = [(r["doc_id"], r["doc_id"], r["text"]) for r in odd.collect()]
+    assert sorted(r["n_tokens"] for r in found) == sorted(len(plain_words(t)) + 1 for _, _, t in rows)
+    want = brute(rows)
+    check([r for r in found if r["doc_id"] is not None and r["doc_id"] != 3], {k: v for k, v in want.items() if k is not None and k != 3})
+    same = [r for r in found if r["doc_id"] == 3]
+    assert len(same) == 2 and same[0] == same[1]
+
+
+def test_empty_table_and_nothing_learned(documents):
+    assert scoring.scored(documents([])).collect() == []
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    row = scoring.scored(documents([(held, "a b a")])).collect()[0]
+    assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"]) == (True, 4, 0, 0)
+    assert row["base_score"] == 0 and row["score"] == 0
+
+
+@given(st.lists(st.integers(0, 2000)), st.integers(2001, 1 << 40))
+def test_elias_fano_is_a_sorted_list(values, universe):
+    values = np.array(sorted(values), np.int64)
+    arrays = {f"x.{k}": v for k, v in EliasFano.arrays(values, universe).items()}
+    sequence = EliasFano.open(from_buffer(np.frombuffer(to_bytes(arrays), np.uint8)), "x")
+    assert sequence[np.arange(len(values))].astype(np.int64).tolist() == values.tolist()
+    ask = np.arange(2001)
+    at, equal = sequence.find(ask)
+    assert at.tolist() == np.searchsorted(values, ask).tolist() and equal.tolist() == np.isin(ask, values).tolist()
+
+
+def test_probabilities_of_a_context_sum_to_less_than_one():
+    rng = np.random.default_rng(1)
+    words = np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64))
+    key, n = np.unique(rng.integers(0, 40, 3000) * len(words) + rng.integers(0, len(words), 3000), return_counts=True)
+    trie = Trie(np.frombuffer(Trie.build(words, key // len(words), key % len(words), n, D), np.uint8))
+    place, known = trie.context(words[key // len(words)])
+    share, seen = trie.bigram(place, known, words[key % len(words)])
+    assert seen.all()
+    total = np.bincount(place, 10**share)
+    back = D * trie.followers(np.arange(len(total))) / np.bincount(place, n)
+    assert (total + back <= 1 + 1e-9).all()
+    nowhere, missing = trie.context(np.array([5], np.uint64))
+    assert not missing.any()

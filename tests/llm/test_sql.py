@@ -1,0 +1,37 @@
+"""Every query that SQL can express, against its SQL on the smallest tables."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from echograph.llm.queries import ORACLE, QUERIES
+
+from .conftest import SF_DIR
+
+TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = duckdb.connect()
+    for file in Path(SF_DIR).glob("*.parquet"):
+        connection.execute(f"CREATE VIEW {file.stem} AS SELECT * FROM read_parquet('{file}')")
+    return connection
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, duck, name):
+    df = QUERIES[name](spark, SF_DIR)
+    cursor = duck.execute(ORACLE[name])
+    types = {d[0]: str(d[1]) for d in cursor.description}
+    assert {c: TYPES[t] for c, t in df.dtypes} == types
+    found = sorted((tuple(r) for r in df.select(*types).collect()), key=str)
+    assert found == sorted(cursor.fetchall(), key=str)
+
+
+def test_every_operator_is_registered_once():
+    numbers = sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op"))
+    assert numbers == list(range(1, 11)) and "pipeline" in QUERIES
