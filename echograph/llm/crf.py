@@ -23,6 +23,9 @@ _SHAPE[0x30:0x3A] = ord("0")
 _SIGN = np.ones(256, bool)
 _SIGN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
+_CLOSING = np.zeros(256, bool)
+_CLOSING[list(b".,;:!?%\"'")] = True
+
 
 def _between(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(flags) + 1, np.int64)
@@ -31,7 +34,12 @@ def _between(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def word_types(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each distinct kind of word (kind, feature), and the kind of each word."""
+    """Features of each distinct kind of word (kind, feature), and the kind of each word.
+
+    Signs that end a clause are left off, three of them at most.
+    """
+    for _ in range(3):
+        ends = ends - ((ends - starts > 1) & _CLOSING[data[ends - 1]])
     shape = _SHAPE[data]
     kept = np.ones(len(shape), bool)  # the first of each run of like signs
     kept[1:] = shape[1:] != shape[:-1]

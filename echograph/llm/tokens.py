@@ -57,13 +57,19 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int, file_ids:
         names = batch.column("id").to_pylist()
         for i, j, data, offsets in W.chunks(batch, "text", CHUNK_BYTES):
             found, n = own.encode(data, offsets)
-            docs += names[i:j]
-            counts.append(n)
-            ids.append(found)
-            held += len(found)
-            if held >= file_ids:
-                yield flush()
-                file, before, held, docs, counts, ids = file + 1, before + held, 0, [], [], []
+            ends = np.cumsum(n)
+            done = 0
+            while done < j - i:  # a file closes with the document that fills it
+                taken = int(ends[done - 1]) if done else 0
+                until = min(j - i, int(np.searchsorted(ends, taken + file_ids - held)) + 1)
+                docs += names[i + done : i + until]
+                counts.append(n[done:until])
+                ids.append(found[taken : ends[until - 1]])
+                held += len(ids[-1])
+                done = until
+                if held >= file_ids:
+                    yield flush()
+                    file, before, held, docs, counts, ids = file + 1, before + held, 0, [], [], []
     if docs:
         yield flush()
 

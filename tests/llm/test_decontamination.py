@@ -57,14 +57,14 @@ def test_against_brute_force(documents, benchmark_of, block_words):
     for _ in range(120):
         text = line(rng.randint(0, 60))
         for _ in range(rng.randint(0, 2)):
-            text += " " + rng.choice(items)[1].upper() if rng.random() < 0.5 and rng.choice(items)[1] else ""
+            text += " " + rng.choice([t for _, t in items if t]).upper()
         texts.append(text)
     for name, phrase in items:
         texts.append(f"start, {phrase}! {phrase}? end")
     texts += ["zw, zv qq", "zw\nzv", None, ""]
     found = decontamination.judged(documents(list(enumerate(texts))).repartition(3), benchmark_of(items), block_words=block_words).collect()
     check(found, texts, items)
-    assert sum(r["contaminated"] for r in found) > 10
+    assert 10 < sum(r["contaminated"] for r in found) < len(found)
 
 
 def test_odd_rows_and_empty_tables(odd, documents, benchmark_of):
