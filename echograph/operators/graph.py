@@ -11,6 +11,7 @@ from echograph.functions.text import joined_tags
 from echograph.operators.intake import keyword_filter
 from echograph.operators.skew import balanced_join, heavy_keys
 from echograph.schema import HANDLE_COLUMNS, INTERACTION_ROW, ORIGINAL_ROW
+from echograph.sources.tables import stored
 
 
 def _references() -> list[Column]:
@@ -71,14 +72,17 @@ def edge_weights(pairs: DataFrame, kind: str = "ratio") -> DataFrame:
 
     ``count``: the pair count.  ``ratio``: the pair's share in all interactions
     of its author.  Self references count in that total, so an author's weights
-    sum to at most 1.  The ratio reads ``pairs`` several times: pass a stored
-    table.  An author with a large share of all pairs is split over tasks.
+    sum to at most 1.  One aggregate per author gives totals and hot authors, so
+    ``pairs`` is read twice: pass a stored table.  An author with a large share
+    of all pairs is split over tasks.
     """
     if kind == "count":
         weighted = pairs.withColumn("weight", F.col("n").cast("double"))
     elif kind == "ratio":
-        totals = pairs.groupBy("from_user").agg(F.sum("n").alias("total"))
-        joined = balanced_join(pairs, totals, "from_user", "to_user", heavy_keys(pairs, "from_user"))
+        per_author = pairs.groupBy("from_user").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
+        per_author = stored(per_author, "totals")
+        heavy = heavy_keys(per_author, "from_user")
+        joined = balanced_join(pairs, per_author.drop("rows"), "from_user", "to_user", heavy)
         weighted = joined.withColumn("weight", F.col("n").cast("double") / F.col("total").cast("double"))
     else:
         raise ValueError(f"unknown weight kind {kind!r}")

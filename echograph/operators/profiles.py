@@ -1,9 +1,9 @@
 """User profiles as seen on their posts.
 
-Input posts are nested and carry ``day``.  A profile row is what one post says
-about its author.  "Latest" goes by the text date as a string (``string``, right
-within a day but not across weekdays) or by the parsed date (``time``).  Ties
-keep all tied rows.
+Input posts are nested and may carry ``day``.  A profile row is what one post
+says about its author.  "Latest" goes by the text date as a string (``string``),
+which is right within a day only, so ``day`` comes before it where there is one;
+or by the parsed date (``time``).  Ties keep all tied rows.
 
 The windows filter on rank 1, which Spark applies before its shuffle as well, so
 an author of a third of all posts sends one row per task, ties aside.
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echograph.functions.text import post_time
+from echograph.operators.skew import of_candidates
 from echograph.schema import CANDIDATE, PROFILE_COLUMNS
 
 
@@ -30,14 +31,19 @@ def profiles(posts: DataFrame) -> DataFrame:
     )
 
 
-def _post_order(order: str) -> Column:
+def _post_order(rows: DataFrame, order: str) -> list[Column]:
+    """What says how late a post is, most telling first."""
     if order == "string":
-        return F.col("tweet_created_at")
+        return [*([F.col("day")] if "day" in rows.columns else []), F.col("tweet_created_at")]
     if order == "time":
-        return post_time(F.col("tweet_created_at"))
+        return [post_time(F.col("tweet_created_at"))]
     raise ValueError(f"unknown order {order!r}")
 
 
+def _newest_first(rows: DataFrame, order: str) -> list[Column]:
+    return [c.desc() for c in _post_order(rows, order)]
+
+
 def _ranked_first(rows: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*newest_first)
     return (
@@ -49,39 +55,33 @@ def _ranked_first(rows: DataFrame, keys: list[str], *newest_first: Column) -> Da
 
 def latest_profile(posts: DataFrame, order: str = "string") -> DataFrame:
     """Profile columns of each user's latest post, with ``create_rank`` 1."""
-    rows = profiles(posts).select(*PROFILE_COLUMNS)
-    return _ranked_first(rows, ["user_id_str"], _post_order(order).desc())
+    rows = profiles(posts)
+    return _ranked_first(rows, ["user_id_str"], *_newest_first(rows, order)).select(*PROFILE_COLUMNS, "create_rank")
 
 
 def user_history(posts: DataFrame, user_id: str | None = None, order: str = "string") -> DataFrame:
     """All profile rows of one user, or of every user, ranked newest first.
 
-    ``create_rank`` is the rank within an hour plus the number of the user's rows
-    in later hours, so no task has to hold the whole history of a very active
-    user; the running sum is over hours only.
+    ``create_rank`` is one more than the number of the user's later rows.  Rows
+    are counted per user and time first, so the running sum is over different
+    times, of which a day has 86,400, and no task sorts all rows of a user.
     """
-    rows = profiles(posts).select(*PROFILE_COLUMNS).filter(F.col("user_id_str").isNotNull())
+    rows = profiles(posts).filter(F.col("user_id_str").isNotNull())
     if user_id is not None:
         rows = rows.filter(F.col("user_id_str") == F.lit(user_id))
-    # The leading part of a date string sorts like the string.
-    hour = (
-        F.substring("tweet_created_at", 1, 13)
-        if order == "string"
-        else F.date_trunc("hour", _post_order(order))
-    )
-    rows = rows.withColumn("at", _post_order(order)).withColumn("hour", hour)
-    newest_first = Window.partitionBy("user_id_str").orderBy(F.desc("hour"))
+    # Order-preserving, one column: dates as text sort like dates.
+    at = F.struct(*[c.alias(f"at{i}") for i, c in enumerate(_post_order(rows, order))])
+    rows = rows.withColumn("at", at)
+    newest = Window.partitionBy("user_id_str").orderBy(F.desc("at"))
     later = (
-        rows.groupBy("user_id_str", "hour")
-        .agg(F.count(F.lit(1)).alias("in_hour"))
-        .withColumn("later", F.sum("in_hour").over(newest_first.rowsBetween(Window.unboundedPreceding, -1)))
-        .select(F.col("user_id_str").alias("later_user"), F.col("hour").alias("later_hour"), "later")
+        rows.groupBy("user_id_str", "at")
+        .agg(F.count(F.lit(1)).alias("then"))
+        .withColumn("later", F.sum("then").over(newest.rowsBetween(Window.unboundedPreceding, -1)))
+        .select(F.col("user_id_str").alias("later_user"), F.col("at").alias("later_at"), "later")
     )
-    within = Window.partitionBy("user_id_str", "hour").orderBy(F.desc("at"))
-    ranked = rows.withColumn("in_rank", F.rank().over(within))
-    same_hour = (F.col("user_id_str") == F.col("later_user")) & F.col("hour").eqNullSafe(F.col("later_hour"))
-    rank = F.col("in_rank") + F.coalesce("later", F.lit(0))
-    return ranked.join(later, same_hour).select(*PROFILE_COLUMNS, rank.alias("create_rank"))
+    same = (F.col("user_id_str") == F.col("later_user")) & F.col("at").eqNullSafe(F.col("later_at"))
+    rank = F.coalesce("later", F.lit(0)) + 1
+    return rows.join(later, same).select(*PROFILE_COLUMNS, rank.cast("long").alias("create_rank"))
 
 
 def posts_per_user(posts: DataFrame) -> DataFrame:
@@ -107,8 +107,9 @@ def candidate_count(found: DataFrame) -> DataFrame:
 
 
 def candidate_profiles(rows: DataFrame, cand: DataFrame) -> DataFrame:
-    """Rows of candidate users.  Spark broadcasts the list when it is small."""
-    return rows.join(cand, "user_id_str")
+    """Rows of candidate users; see ``of_candidates`` for large lists and hot users."""
+    by = "tweet_created_at" if "tweet_created_at" in rows.columns else "user_id_str"
+    return of_candidates(rows, cand, by)
 
 
 def missing_candidates(cand: DataFrame, found: DataFrame) -> DataFrame:
@@ -119,7 +120,7 @@ def missing_candidates(cand: DataFrame, found: DataFrame) -> DataFrame:
 def daily_profile_panel(posts: DataFrame, cand: DataFrame, order: str = "string") -> DataFrame:
     """Each candidate's latest profile of every day, as ``day`` + profile columns."""
     rows = candidate_profiles(profiles(posts), cand)
-    return _ranked_first(rows, ["day", "user_id_str"], _post_order(order).desc()).select("day", *PROFILE_COLUMNS)
+    return _ranked_first(rows, ["day", "user_id_str"], *_newest_first(rows, order)).select("day", *PROFILE_COLUMNS)
 
 
 def backfill_profiles(posts: DataFrame, cand: DataFrame, order: str = "string") -> DataFrame:
@@ -128,5 +129,5 @@ def backfill_profiles(posts: DataFrame, cand: DataFrame, order: str = "string")
     What a newest-first loop over days finds, as one window over all days.
     """
     rows = candidate_profiles(profiles(posts), cand)
-    newest = _ranked_first(rows, ["user_id_str"], F.desc("day"), _post_order(order).desc())
+    newest = _ranked_first(rows, ["user_id_str"], F.desc("day"), *_newest_first(rows, order))
     return newest.select("day", *PROFILE_COLUMNS)

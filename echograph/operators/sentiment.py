@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echograph.functions.text import words
-from echograph.operators.skew import balanced_join, heavy_keys
+from echograph.operators.skew import balanced_join, heavy_keys, row_counts
 from echograph.sources.tables import stored
 
-#: Lexicons up to this size travel with the query; larger ones are joined.
+#: Entries that a lexicon written into the query may have.
 LEXICON_IN_QUERY = 50_000
 
 SCORES = [
@@ -31,6 +31,21 @@ SCORES = [
 ]
 
 
+def checked_lexicon(lex: DataFrame) -> DataFrame:
+    """``(token, valence)`` with lower-cased tokens, each once.
+
+    A missing token or valence, or two valences for one token, is an error.
+    """
+    entries = lex.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence"))
+    each = entries.groupBy("token").agg(F.min("valence").alias("valence"), F.max("valence").alias("other"), F.count_if(F.col("valence").isNull()).alias("unknown"))
+    each = stored(each, "lexicon")
+    wrong = each.filter(F.col("token").isNull() | (F.col("unknown") > 0) | (F.col("valence") != F.col("other")))
+    found = [r["token"] for r in wrong.orderBy("token").limit(5).collect()]
+    if found:
+        raise ValueError(f"lexicon entries without one valence: {found}")
+    return each.select("token", "valence")
+
+
 def _slot(token: Column, slots: int) -> Column:
     return F.pmod(F.hash(token), F.lit(slots))
 
@@ -55,16 +70,25 @@ def _valences(text: Column, lexicon: Column, slots: int) -> Column:
     return F.transform(words(text), valence)
 
 
-def _sums(valences: Column) -> list[Column]:
-    def add(part) -> Column:
-        return F.aggregate(valences, F.lit(0.0), lambda total, v: total + part(v))
+SUMS = ["total", "pos", "neg", "neu"]
+
+
+def _parts(v: Column) -> dict[str, Column]:
+    """What a word of valence ``v`` adds to each sum."""
+    zero = F.lit(0.0)
+    return {
+        "total": v,
+        "pos": F.when(v > 0, v + 1).otherwise(zero),
+        "neg": F.when(v < 0, 1 - v).otherwise(zero),
+        "neu": F.when(v == 0, F.lit(1.0)).otherwise(zero),
+    }
 
-    return [
-        add(lambda v: v).alias("total"),
-        add(lambda v: F.when(v > 0, v + 1).otherwise(0.0)).alias("pos"),
-        add(lambda v: F.when(v < 0, 1 - v).otherwise(0.0)).alias("neg"),
-        add(lambda v: F.when(v == 0, 1.0).otherwise(0.0)).alias("neu"),
-    ]
+
+def _sums(valences: Column) -> Column:
+    """All sums of an array of valences in one pass, as a struct."""
+    start = F.struct(*[F.lit(0.0).alias(name) for name in SUMS])
+    add = lambda sums, v: F.struct(*[(sums[name] + part).alias(name) for name, part in _parts(v).items()])
+    return F.aggregate(valences, start, add)
 
 
 def _scores(alpha: float) -> list[Column]:
@@ -90,23 +114,29 @@ def sentiment_scores(
     text: str,
     lex: DataFrame,
     alpha: float = 15.0,
-    in_query: int = LEXICON_IN_QUERY,
+    form: str = "query",
 ) -> DataFrame:
     """``id`` columns and five scores per row of ``df``.
 
     Neutral text counts as positive; text without words scores 0; a null text
-    has null scores and flag 0.  Scored within the row, without a shuffle, when
-    the lexicon has at most ``in_query`` entries.  A larger one is joined word by
-    word.  ``id`` need not be unique.
+    has null scores and flag 0.  ``id`` need not be unique.  ``form`` is the
+    caller's choice and changes no score: ``query`` writes the lexicon into the
+    query, so rows are scored where they are, and refuses more than
+    ``LEXICON_IN_QUERY`` entries; ``join`` joins it word by word, whatever its size.
     """
     ids = [id] if isinstance(id, str) else list(id)
-    size = lex.limit(in_query + 1).count()
-    if size <= in_query:
-        lexicon, slots = _lexicon_column(lex, size)
-        valued = df.select(*ids, _valences(F.col(text), lexicon, slots).alias("valences"))
-        sums = valued.select(*ids, *_sums(F.col("valences")))
-    else:
+    if form not in ("query", "join"):
+        raise ValueError(f"unknown form {form!r}")
+    lex = checked_lexicon(lex)
+    if form == "join":
         sums = _joined_sums(df, ids, text, lex)
+    else:
+        size = lex.limit(LEXICON_IN_QUERY + 1).count()
+        if size > LEXICON_IN_QUERY:
+            raise ValueError(f"more than {LEXICON_IN_QUERY} lexicon entries: use form='join'")
+        lexicon, slots = _lexicon_column(lex, size)
+        valued = df.select(*ids, _sums(_valences(F.col(text), lexicon, slots)).alias("sums"))
+        sums = valued.select(*ids, "sums.*")
     return sums.select(*ids, *_scores(alpha))
 
 
@@ -125,17 +155,11 @@ def _joined_sums(df: DataFrame, ids: list[str], text: str, lex: DataFrame) -> Da
         "words",
     )
     valences = lex.select("token", F.col("valence").cast("double").alias("v"))
-    joined = balanced_join(counted, valences, "token", "row_key", heavy_keys(counted, "token"), "left")
-    v, n = F.coalesce(F.col("v"), F.lit(0.0)), F.col("n")
-    sums = joined.groupBy(*row, "absent").agg(
-        F.sum(n * v).alias("total"),
-        F.sum(n * F.when(v > 0, v + 1).otherwise(0.0)).alias("pos"),
-        F.sum(n * F.when(v < 0, 1 - v).otherwise(0.0)).alias("neg"),
-        F.sum(n * F.when(v == 0, 1.0).otherwise(0.0)).alias("neu"),
-    )
-    return sums.select(
-        *ids, *[F.when(~F.col("absent"), F.col(c)).alias(c) for c in ("total", "pos", "neg", "neu")]
-    )
+    heavy = heavy_keys(stored(row_counts(counted, "token"), "token-counts"), "token")
+    joined = balanced_join(counted, valences, "token", "row_key", heavy, "left")
+    n, parts = F.col("n"), _parts(F.coalesce(F.col("v"), F.lit(0.0)))
+    sums = joined.groupBy(*row, "absent").agg(*[F.sum(n * part).alias(name) for name, part in parts.items()])
+    return sums.select(*ids, *[F.when(~F.col("absent"), F.col(c)).alias(c) for c in SUMS])
 
 
 def sentiment_by(scored: DataFrame, key: str) -> DataFrame:

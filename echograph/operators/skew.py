@@ -5,42 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-#: A table of fewer rows per core than this is laid out in one partition per core.
-SMALL_ROWS_PER_CORE = 1_000_000
-
 #: Hot keys are cut into parts of this share of an average partition.  Parts fall
 #: on partitions by hash, so smaller ones even out better; each costs one copy of
 #: the other side's row.
 PARTS_PER_PARTITION = 16
 
+#: Parts in which rows meet a candidate list.
+CANDIDATE_PARTS = 32
+
+
+def partitions(df: DataFrame) -> int:
+    """The session's shuffle partitions: joins with shuffled tables find the same layout."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
 
-def partitions(df: DataFrame, rows: int) -> int:
-    """Partitions to keep ``rows`` rows in: the session's shuffle partitions, so
-    that joins with shuffled tables find the same layout, or one per core where
-    the table is too small to be worth more."""
-    spark = df.sparkSession
-    shuffle, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    return min(shuffle, cores) if rows < cores * SMALL_ROWS_PER_CORE else shuffle
+def row_counts(df: DataFrame, key: str) -> DataFrame:
+    """``key, rows`` of each key."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def heavy_keys(df: DataFrame, key: str, rows: int | None = None) -> DataFrame | None:
+def heavy_keys(counts: DataFrame, key: str) -> DataFrame | None:
     """Keys with more rows than an average partition, as ``key, parts``.
 
     ``parts`` says into how many pieces the key is cut.  Fewer keys than there
     are partitions can qualify, so the list is safe to bring to the driver
-    and to broadcast.  None when no key qualifies, the usual case.  Reads ``df``
-    once, and once more to count it if ``rows`` is not given: pass a stored or
-    cached table.
+    and to broadcast.  None when no key qualifies, the usual case.  ``counts``
+    holds ``key, rows`` and is read twice: pass a stored table.
     """
-    rows = df.count() if rows is None else rows
-    average = max(rows / partitions(df, rows), 1.0)
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    rows = counts.agg(F.sum("rows")).first()[0] or 0
+    average = max(rows / partitions(counts), 1.0)
     parts = F.ceil(F.col("rows") * F.lit(PARTS_PER_PARTITION) / F.lit(average)).cast("int")
     heavy = counts.filter(F.col("rows") > F.lit(average)).select(key, parts.alias("parts")).collect()
     if not heavy:
         return None
-    return df.sparkSession.createDataFrame(heavy, counts.select(key, F.lit(1).alias("parts")).schema)
+    return counts.sparkSession.createDataFrame(heavy, counts.select(key, F.lit(1).alias("parts")).schema)
 
 
 def split_keys(key: str, heavy: DataFrame | None) -> list[str]:
@@ -83,3 +81,17 @@ def balanced_join(
     """
     left, right = split_rows(many, key, by, heavy), repeat_rows(one, key, heavy)
     return left.join(right, split_keys(key, heavy), how).drop("part")
+
+
+def of_candidates(rows: DataFrame, cand: DataFrame, by: str, key: str = "user_id_str") -> DataFrame:
+    """Rows whose ``key`` is in the candidate list.
+
+    A small list is broadcast.  A large one is shuffled in as many copies as
+    there are parts, so that a user of a third of all rows is dealt over parts
+    by a hash of ``by``; what groups the rows afterwards shuffles them anew,
+    with its own map-side step.
+    """
+    part = F.pmod(F.xxhash64(by), F.lit(CANDIDATE_PARTS)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(CANDIDATE_PARTS - 1)))
+    wanted = cand.select(F.col(key), copies.alias("candidate_part"))
+    return rows.withColumn("candidate_part", part).join(wanted, [key, "candidate_part"], "left_semi").drop("candidate_part")

@@ -102,8 +102,24 @@ MATCHED = UNNESTED + [
   WHERE regexp_matches(text, '{PATTERN}') OR regexp_matches(hashtags, '{PATTERN}'))"""
 ]
 
+#: How many parts of a post are not known.
+MISSING = " + ".join(f"CAST({c.strip()} IS NULL AS INT)" for c in FLAT_COLUMNS.split(","))
+
 REFERENCES = "quoted_original_user_id_str, in_reply_to_user_id_str, retweeted_original_user_id_str"
 
+INTAKE_COUNTS = [
+    f"kept AS MATERIALIZED (SELECT DISTINCT {FLAT_COLUMNS}, day FROM hit)",
+    f"""per_day AS (
+  SELECT day, count(*) FILTER (origin = 'raw') AS "read", count(*) AS unnested,
+         (SELECT count(*) FROM hit WHERE hit.day = un.day) AS matched,
+         (SELECT count(*) FROM kept WHERE kept.day = un.day) AS kept,
+         (SELECT count(*) FROM kept WHERE kept.day = un.day AND coalesce({REFERENCES}) IS NOT NULL) AS connected,
+         (SELECT count(*) FROM kept WHERE kept.day = un.day AND coalesce({REFERENCES}) IS NULL) AS original
+  FROM un GROUP BY day)""",
+    """counts AS (UNPIVOT (SELECT * FROM per_day) ON "read", unnested, matched, kept, connected, original
+  INTO NAME stage VALUE n)""",
+]
+
 ROWS = """inter AS (
   SELECT * FROM (
     SELECT flat.*, quoted_original_user_id_str AS connected_user_single FROM flat
@@ -304,6 +320,13 @@ FROM scored GROUP BY {key}""",
     )
 
 
+TURN_SCORES = _with(
+    *_scored("conversations", "conv_id, turn"),
+    select="""SELECT conv_id, turn, round(sentiment_neg, 9) AS sentiment_neg, round(sentiment_neu, 9) AS sentiment_neu,
+  round(sentiment_pos, 9) AS sentiment_pos, round(sentiment_compound, 9) AS sentiment_compound,
+  sentiment_compound_pos_ind FROM scored""",
+)
+
 ORACLE: dict[str, str] = {
     "archive_influencers": _with(
         *MATCHED,
@@ -319,6 +342,16 @@ FROM top LEFT JOIN handles ON user_id_str = users""",
     ),
     "read_posts": _with(*FLAT, select="SELECT id_str, user_id_str, created_at, text FROM flat"),
     "read_days": _with(EV, select="SELECT day, count(*) AS n_posts FROM ev GROUP BY day"),
+    "day_slice": _with(
+        EV, select="SELECT day, count(*) AS n_posts FROM ev GROUP BY day ORDER BY day DESC LIMIT 3 OFFSET 1"
+    ),
+    "intake_report": _with(
+        *MATCHED,
+        *INTAKE_COUNTS,
+        select="""SELECT * FROM counts
+UNION ALL SELECT day, 'broken', count(*) FROM ev WHERE event_id % 100 = 0 GROUP BY day
+UNION ALL SELECT '2999-01-01', 'skipped', 1""",
+    ),
     "posts_json_roundtrip": _with(
         *FLAT,
         ROWS,
@@ -335,23 +368,11 @@ UNION ALL SELECT id_str, user_id_str, hashtags, connected_user_single FROM inter
         select=f"""SELECT {FLAT_COLUMNS}, day FROM (
   SELECT *, row_number() OVER (
     PARTITION BY id_str
-    ORDER BY CASE origin WHEN 'raw' THEN 1 WHEN 'reshared' THEN 2 ELSE 3 END, day) AS nth
+    ORDER BY CASE origin WHEN 'raw' THEN 1 WHEN 'reshared' THEN 2 ELSE 3 END, day, {MISSING}) AS nth
   FROM un) WHERE nth = 1""",
     ),
     "intake": _with(*MATCHED, select=f"SELECT DISTINCT {FLAT_COLUMNS}, text_hashtag, day FROM hit"),
-    "intake_counts": _with(
-        *MATCHED,
-        f"kept AS MATERIALIZED (SELECT DISTINCT {FLAT_COLUMNS}, day FROM hit)",
-        f"""per_day AS (
-  SELECT day, count(*) FILTER (origin = 'raw') AS "read", count(*) AS unnested,
-         (SELECT count(*) FROM hit WHERE hit.day = un.day) AS matched,
-         (SELECT count(*) FROM kept WHERE kept.day = un.day) AS kept,
-         (SELECT count(*) FROM kept WHERE kept.day = un.day AND coalesce({REFERENCES}) IS NOT NULL) AS connected,
-         (SELECT count(*) FROM kept WHERE kept.day = un.day AND coalesce({REFERENCES}) IS NULL) AS original
-  FROM un GROUP BY day)""",
-        select="""UNPIVOT (SELECT * FROM per_day) ON "read", unnested, matched, kept, connected, original
-INTO NAME stage VALUE n""",
-    ),
+    "intake_counts": _with(*MATCHED, *INTAKE_COUNTS, select="SELECT * FROM counts"),
     "handle_dictionary": _with(*BARE, HANDLES, select="SELECT * FROM handles"),
     "connected_users": _with(
         *BARE,
@@ -428,16 +449,23 @@ FROM top LEFT JOIN handles ON user_id_str = users""",
         EV, select="SELECT author AS user_id_str, count(*) AS n_posts FROM ev GROUP BY author"
     ),
     "latest_profile": _with(
-        *PROF, select=f"SELECT {PROFILE_COLUMNS}, create_rank FROM {_ranked('tweet_created_at')} WHERE create_rank = 1"
+        *PROF, select=f"SELECT {PROFILE_COLUMNS}, create_rank FROM {_ranked('day DESC, tweet_created_at')} WHERE create_rank = 1"
     ),
     "latest_profile_by_time": _with(
         *PROF, select=f"SELECT {PROFILE_COLUMNS}, create_rank FROM {_ranked('posted')} WHERE create_rank = 1"
     ),
-    "user_history": _with(*PROF, select=f"SELECT {PROFILE_COLUMNS}, create_rank FROM {_ranked('tweet_created_at')}"),
+    "user_history": _with(
+        *PROF, select=f"SELECT {PROFILE_COLUMNS}, create_rank FROM {_ranked('day DESC, tweet_created_at')}"
+    ),
+    "user_history_one": _with(
+        *PROF_CAND,
+        select=f"""SELECT {PROFILE_COLUMNS}, create_rank FROM {_ranked('day DESC, tweet_created_at')}
+WHERE user_id_str = (SELECT to_user FROM pairs GROUP BY to_user ORDER BY sum(n) DESC, to_user LIMIT 1)""",
+    ),
     "user_history_by_time": _with(*PROF, select=f"SELECT {PROFILE_COLUMNS}, create_rank FROM {_ranked('posted')}"),
     "candidate_profiles": _with(
         *PROF_CAND,
-        select=f"""SELECT {PROFILE_COLUMNS} FROM {_ranked('tweet_created_at')}
+        select=f"""SELECT {PROFILE_COLUMNS} FROM {_ranked('day DESC, tweet_created_at')}
 WHERE create_rank = 1 AND user_id_str IN (SELECT user_id_str FROM cand)""",
     ),
     "missing_candidates": _with(
@@ -451,6 +479,7 @@ WHERE to_user NOT IN (SELECT author FROM ev WHERE day = (SELECT max(day) FROM ev
         select=f"""SELECT day, {PROFILE_COLUMNS}
 FROM {_ranked('day DESC, tweet_created_at', source='mine')} WHERE create_rank = 1""",
     ),
+    "backfill_profiles_none": _with(*PROF, select=f"SELECT day, {PROFILE_COLUMNS} FROM prof WHERE false"),
     "daily_profile_panel": _with(
         *PROF_CAND,
         f"mine AS ({OF_CAND})",
@@ -459,7 +488,7 @@ FROM {_ranked('tweet_created_at', 'day, user_id_str', 'mine')} WHERE create_rank
     ),
     "engagement_rate": _with(
         *PROF,
-        *_rates("user_id_str", "tweet_created_at", "SELECT * FROM prof"),
+        *_rates("user_id_str", "day DESC, tweet_created_at", "SELECT * FROM prof"),
         select=f"SELECT {PROFILE_COLUMNS}, retweets_count, ier FROM rates",
     ),
     "backfill_engagement_rate": _with(
@@ -503,12 +532,8 @@ FROM (SELECT user_id_str, count(*) AS cnt FROM inter GROUP BY user_id_str)
 JOIN (SELECT user_id_str, count(*) AS ori_cnt FROM flat WHERE coalesce({REFERENCES}) IS NULL GROUP BY user_id_str)
 USING (user_id_str) WHERE user_id_str IN (SELECT user_id_str FROM cand)""",
     ),
-    "sentiment_scores": _with(
-        *_scored("conversations", "conv_id, turn"),
-        select="""SELECT conv_id, turn, round(sentiment_neg, 9) AS sentiment_neg, round(sentiment_neu, 9) AS sentiment_neu,
-  round(sentiment_pos, 9) AS sentiment_pos, round(sentiment_compound, 9) AS sentiment_compound,
-  sentiment_compound_pos_ind FROM scored""",
-    ),
+    "sentiment_scores": TURN_SCORES,
+    "sentiment_scores_joined": TURN_SCORES,
     "sentiment_by_author": _sentiment_by(
         f"(SELECT * FROM flat WHERE coalesce({REFERENCES}) IS NULL)", "user_id_str", ""
     ),

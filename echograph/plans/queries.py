@@ -15,7 +15,7 @@ from echograph.operators import engagement, graph, intake, profiles, ranking, se
 from echograph.plans import jobs
 from echograph.schema import FLAT, HANDLE, INTERACTION_ROW, ORIGINAL_ROW, PAIR, PROFILE_COLUMNS
 from echograph.sources import derived
-from echograph.sources.posts import read_days, read_posts, write_days
+from echograph.sources.posts import bad_lines, read_days, read_posts, split_days, write_days
 from echograph.sources.tables import fresh_path, read_csv, read_json, stored, write_csv, write_json
 
 #: Terms found in the given texts and event types; plain ASCII, so that every
@@ -107,12 +107,9 @@ def q_archive_influencers(spark, sf):
 
 
 def _all_days(spark, sf) -> list[str]:
-    """Days between the first and the last event: one row of two dates."""
-    first, last = derived.own_posts(spark, sf).agg(F.min("day"), F.max("day")).first()
-    days = spark.range((last - first).days + 1).select(
-        F.date_format(F.date_add(F.lit(first), F.col("id").cast("int")), "yyyyMMdd")
-    )
-    return [row[0] for row in days.collect()]
+    """The different days of the events."""
+    days = derived.own_posts(spark, sf).select(F.date_format("day", "yyyyMMdd").alias("day")).distinct()
+    return [row[0] for row in days.orderBy("day").collect()]
 
 
 def q_read_days(spark, sf):
@@ -122,6 +119,26 @@ def q_read_days(spark, sf):
     return found.groupBy(_day()).agg(F.count(F.lit(1)).alias("n_posts"))
 
 
+def q_day_slice(spark, sf):
+    """The three newest days but one."""
+    template = write_days(derived.posts(spark, sf), fresh_path(spark, "posts"))
+    found = read_days(spark, template, _all_days(spark, sf), newest=3, skip=1)
+    return found.groupBy(_day()).agg(F.count(F.lit(1)).alias("n_posts"))
+
+
+def q_intake_report(spark, sf):
+    """Stages, broken lines and absent days; every hundredth event adds a broken line to its day."""
+    root = fresh_path(spark, "posts")
+    write_days(derived.posts(spark, sf), root + "/posts")
+    broken = derived.own_posts(spark, sf).filter(F.col("id_str").cast("long") % 100 == 0)
+    lines = broken.select(F.date_format("day", "yyyyMMdd").alias("day"), F.concat(F.lit('{"id_str": "'), "id_str").alias("line"))
+    lines.write.partitionBy("day").option("compression", "gzip").text(root + "/broken")
+    template = root + "/*/day={}/*.gz"
+    found, skipped = split_days(spark, template, _all_days(spark, sf) + ["29990101"])
+    counts = intake.intake_counts(read_days(spark, template, found), TERMS)
+    return intake.intake_report(counts, bad_lines(spark, template, found), skipped).select(_day(), "stage", "n")
+
+
 def q_posts_json_roundtrip(spark, sf):
     original, connected = graph.intermediate_rows(derived.flat_posts(spark, sf))
     path = fresh_path(spark, "rows")
@@ -325,6 +342,12 @@ def q_user_history_by_time(spark, sf):
     return profiles.user_history(derived.own_posts(spark, sf), order="time")
 
 
+def q_user_history_one(spark, sf):
+    """History of the user others refer to most."""
+    user_id = most_referred(spark, sf, 1).first()["user_id_str"]
+    return profiles.user_history(derived.own_posts(spark, sf), user_id)
+
+
 def q_candidate_profiles(spark, sf):
     latest = profiles.latest_profile(derived.own_posts(spark, sf))
     return profiles.candidate_profiles(latest, most_referred(spark, sf)).select(*PROFILE_COLUMNS)
@@ -344,6 +367,12 @@ def q_backfill_profiles(spark, sf):
     return found.select(_day(), *PROFILE_COLUMNS)
 
 
+def q_backfill_profiles_none(spark, sf):
+    """Of an empty candidate list: no rows, all columns."""
+    found = profiles.backfill_profiles(derived.own_posts(spark, sf), profiles.no_candidates(spark))
+    return found.select(_day(), *PROFILE_COLUMNS)
+
+
 def q_daily_profile_panel(spark, sf):
     found = profiles.daily_profile_panel(derived.own_posts(spark, sf), most_referred(spark, sf))
     return found.select(_day(), *PROFILE_COLUMNS)
@@ -400,8 +429,16 @@ def q_sent_and_original(spark, sf):
 
 
 def q_sentiment_scores(spark, sf):
-    turns = derived.spread(derived.table(spark, sf, "conversations"))
-    scored = sentiment.sentiment_scores(turns, ["conv_id", "turn"], "text", lexicon(spark))
+    return _turn_scores(spark, sf, "query")
+
+
+def q_sentiment_scores_joined(spark, sf):
+    return _turn_scores(spark, sf, "join")
+
+
+def _turn_scores(spark, sf, form: str) -> DataFrame:
+    turns = derived.table(spark, sf, "conversations")
+    scored = sentiment.sentiment_scores(turns, ["conv_id", "turn"], "text", lexicon(spark), form=form)
     return scored.select(
         "conv_id",
         "turn",

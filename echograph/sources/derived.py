@@ -20,13 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than there are cores, dealt over all cores.
-
-    Only small tables are; a large one has splits enough and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by the key that they are joined by next: the join finds them so."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _authored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +62,7 @@ def _referring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("author").alias("ref_author"),
         F.col("handle").alias("ref_handle"),
     )
-    return spread(events).join(target, "parent_id", "left").select(
+    return spread(events, "parent_id").join(target, "parent_id", "left").select(
         "*",
         (F.col("event_type") == "click").alias("reshares"),
         (

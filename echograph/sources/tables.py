@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 
@@ -29,9 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Folder of the job that runs, if it has one.
+_job: ContextVar[str | None] = ContextVar("job", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}/{name}"
+    """A new path below the folder of the job that runs, else below the shared folder."""
+    return f"{_job.get() or shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library made below the shared one."""
+    if not path.startswith(shared_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def job_folder(spark: SparkSession) -> Iterator[str]:
+    """Tables stored inside go to a folder of their own, which is removed at the end.
+
+    For jobs that write their results elsewhere; what is read from the folder
+    later is gone.
+    """
+    path = f"{shared_dir(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+    token = _job.set(path)
+    try:
+        yield path
+    finally:
+        _job.reset(token)
+        removed(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -52,19 +83,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def write_csv(
-    df: DataFrame,
-    path: str,
-    header: bool = False,
-    mode: str = "overwrite",
-    single_file: bool = False,
-) -> None:
-    """CSV directory; ``mode='errorifexists'`` refuses to replace one.
+class Rounds:
+    """The tables of an iteration: each is written once, and only the last two are kept.
 
-    ``single_file`` passes everything through one task: for top-k reports only.
+    A round's plan reads the table before it, so a lost executor costs one round.
     """
-    out = df.coalesce(1) if single_file else df
-    out.write.mode(mode).option("header", header).csv(path)
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.base, self.paths = spark, fresh_path(spark, name), []
+
+    def keep(self, df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+        """Write ``df`` and take ``metrics`` over it in the same action."""
+        seen = Observation()
+        observed = df.observe(seen, *[value.alias(name) for name, value in metrics.items()]) if metrics else df
+        path = f"{self.base}/{len(self.paths)}"
+        observed.write.parquet(path)
+        self.paths.append(path)
+        if len(self.paths) > 2:
+            removed(self.spark, self.paths[-3])
+        return self.spark.read.schema(df.schema).parquet(path), seen.get if metrics else {}
+
+
+def write_csv(df: DataFrame, path: str, header: bool = False, mode: str = "overwrite") -> None:
+    """CSV directory; ``mode='errorifexists'`` refuses to replace one."""
+    df.write.mode(mode).option("header", header).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType, header: bool = False) -> DataFrame:

@@ -55,7 +55,7 @@ def test_count_weights(spark):
 def test_an_author_of_most_pairs_is_split(spark):
     rows = [("hub", f"t{i:04}", 1 + i % 3) for i in range(2000)] + [(f"u{i}", "hub", 2) for i in range(100)]
     df = pairs(spark, *rows)
-    heavy = skew.heavy_keys(df, "from_user")
+    heavy = skew.heavy_keys(skew.row_counts(df, "from_user"), "from_user")
     average = df.count() / 8
     [(key, parts)] = [tuple(r) for r in heavy.collect()]
     assert key == "hub" and parts >= 8
@@ -71,8 +71,8 @@ def test_an_author_of_most_pairs_is_split(spark):
 
 def test_no_key_is_heavy_in_an_even_table(spark):
     df = pairs(spark, *[(f"a{i}", "b", 1) for i in range(100)])
-    assert skew.heavy_keys(df, "from_user") is None
-    assert skew.heavy_keys(df.filter("n > 5"), "from_user") is None
+    assert skew.heavy_keys(skew.row_counts(df, "from_user"), "from_user") is None
+    assert skew.heavy_keys(skew.row_counts(df.filter("n > 5"), "from_user"), "from_user") is None
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -116,6 +116,30 @@ def test_raw_and_embedded_forms_differ_until_merged_by_id(spark):
     assert merged.columns == FLAT.names + ["day"]
 
 
+def test_merging_by_id_keeps_references_and_posts_without_id(spark):
+    full = post("1", "a", "x", quoted_status=embedded("9", "z", "q"))
+    rows = flat(spark, post("1", "a", "x"), full, full, post(None, "b", "no id"), post(None, "b", "no id"), post(None, "c", "none"))
+    kept = I.dedup_posts(rows, "post_id")
+    assert table(kept, "id_str", "quoted_original_tweet_id_str", "text") == [
+        ("1", "9", "x"), (None, None, "no id"), (None, None, "no id"), (None, None, "none"),
+    ] or sorted(map(str, table(kept, "id_str", "quoted_original_tweet_id_str", "text"))) == sorted(
+        map(str, [("1", "9", "x"), (None, None, "no id"), (None, None, "no id"), (None, None, "none")])
+    )
+    earlier = flat(spark, full, post("1", "a", "x"), day=["2022-02-16", "2022-02-15"])
+    assert table(I.dedup_posts(earlier, "post_id"), "day", "quoted_original_tweet_id_str") == [(D, None)]
+
+
+def test_merging_by_id_sorts_no_posts(spark):
+    plan = I.dedup_posts(flat(spark, post("1", "a", "x")), "post_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
+def test_counts_send_no_text(spark):
+    plan = I.intake_counts(raw(spark, post("1", "a", "x")), ["x"])._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("text#" in line for line in exchanges)
+
+
 def test_unknown_dedup_mode(spark):
     with pytest.raises(ValueError):
         I.dedup_posts(flat(spark, post("1", "a")), "none")

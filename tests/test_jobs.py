@@ -9,11 +9,9 @@ from pathlib import Path
 import pytest
 from conftest import embedded, post, reply_to, table
 
-from echograph.operators import intake
 from echograph.plans import jobs
 from echograph.schema import HANDLE, INTERACTION_ROW, ORIGINAL_ROW, PAIR, USER_COUNT
-from echograph.sources.posts import read_days
-from echograph.sources.tables import read_csv, read_json
+from echograph.sources.tables import read_csv, read_json, shared_dir
 
 DAYS = ["20220214", "20220215", "20220216"]
 
@@ -111,6 +109,20 @@ def test_sentiment_files(spark, data, path):
     ]
 
 
-def test_days_without_rows_are_named(spark, archive):
-    counts = intake.intake_counts(read_days(spark, archive, DAYS), ["game"])
-    assert [str(r[0]) for r in jobs.skipped_or_empty(counts, DAYS).collect()] == ["2022-02-15"]
+def test_the_report_names_what_is_missing(spark, data):
+    report = table(spark.read.csv(f"{data}/report").selectExpr("_c0", "_c1", "_c2"))
+    found = {(day, stage): int(n) for day, stage, n in report}
+    assert found["2022-02-14", "read"] == 3 and found["2022-02-16", "read"] == 3
+    assert found["2022-02-14", "broken"] == found["2022-02-16", "broken"] == found["2022-02-15", "skipped"] == 1
+    assert not any(day == "2022-02-15" and stage != "skipped" for day, stage in found)
+
+
+def test_jobs_leave_no_tables_behind(spark, data, path):
+    base = Path(shared_dir(spark))
+    before = set(base.iterdir())
+    jobs.ranking_job(spark, data, path("ranked"), k=2)
+    jobs.ranking_job(spark, data, path("pagerank"), k=1, rounds=3, neighbours=True)
+    jobs.hits_job(spark, data, path("hits"), rounds=2)
+    lex = spark.createDataFrame([("good", 2.0)], "token string, valence double")
+    jobs.sentiment_job(spark, data, lex, path("scores"), form="join")
+    assert set(base.iterdir()) == before

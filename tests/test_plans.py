@@ -6,6 +6,7 @@ import pytest
 from conftest import SF_DIR, pairs, weights
 
 import __spark_entry__ as contract
+from echograph.operators import engagement as E
 from echograph.operators import graph as G
 from echograph.operators import profiles as P
 from echograph.operators import ranking as R
@@ -65,8 +66,8 @@ def test_sentiment_needs_no_shuffle(spark):
 def test_rounds_shuffle_partial_sums_only(spark, no_broadcast):
     """Two half-rounds on kept edges: no shuffle or sort of the edges."""
     edges = stored(weights(spark, *[(f"u{i % 50}", f"v{i % 40}", 1.0) for i in range(200)]).distinct(), "edges")
-    by_from, heavy_from = R._kept_by(edges, "from_user", "to_user", edges.count())
-    by_to, heavy_to = R._kept_by(edges, "to_user", "from_user", edges.count())
+    by_from, heavy_from = R._kept_by(edges, "from_user", "to_user")
+    by_to, heavy_to = R._kept_by(edges, "to_user", "from_user")
     by_from.count(), by_to.count()
     assert heavy_from is None and heavy_to is None
     auth = R._summed(by_from.selectExpr("to_user AS node", "weight AS score"))
@@ -83,3 +84,36 @@ def test_pairs_are_read_from_the_stored_table(spark):
     kept = stored(pairs(spark, ("a", "b", 1), ("b", "a", 2)), "pairs")
     text = plan(G.edge_weights(kept))
     assert "LocalTableScan" not in text and text.count("Scan parquet") >= 2
+
+
+@pytest.mark.parametrize("name", ["panel", "backfill", "interactions", "totals"])
+def test_a_hot_candidate_is_dealt_over_tasks(spark, no_broadcast, name):
+    """One author of a third of all posts, and a list too large to broadcast."""
+    ids = spark.range(30_000).selectExpr("id", "CAST(IF(id % 3 = 0, 0, id) AS STRING) AS author")
+    posts = ids.selectExpr(
+        "CAST(id AS STRING) AS id_str", "concat('Tue Feb 15 01:02:', id) AS created_at", "date '2022-02-15' AS day",
+        "named_struct('id_str', author, 'screen_name', author, 'verified', false, 'followers_count', 1L, 'friends_count', 1L, "
+        "'favourites_count', 1L, 'statuses_count', 1L, 'created_at', '') AS user",
+        "1L AS quote_count", "1L AS reply_count", "1L AS retweet_count", "1L AS favorite_count",
+    )
+    cand = ids.select(ids["author"].alias("user_id_str")).distinct()
+    rows = {
+        "panel": lambda: P.candidate_profiles(P.profiles(posts), cand),
+        "backfill": lambda: P.candidate_profiles(P.profiles(posts), cand),
+        "interactions": lambda: E.candidate_post_interactions(E.post_interactions(posts), cand),
+        "totals": lambda: E.of_users(posts, cand),
+    }[name]()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [n for n in rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 30_000 and max(sizes) < 10_000
+    if name == "panel":
+        assert "WindowGroupLimit" in plan(P.daily_profile_panel(posts, cand))
+
+
+def test_weights_read_the_pairs_twice(spark):
+    kept = stored(pairs(spark, ("a", "b", 1), ("b", "a", 2)), "pairs")
+    G.edge_weights(kept)  # the aggregate per author is stored on the way
+    assert plan(G.edge_weights(kept)).count("Scan parquet") <= 4  # two scans, each named twice

@@ -42,6 +42,21 @@ def test_history_ranks_all_rows_with_gaps(spark, order):
     assert len(table(P.user_history(posts, order=order))) == 6
 
 
+def test_strings_go_by_day_first(spark):
+    stamps = {"2022-02-15": TUE, "2022-02-16": WED, "2022-02-18": FRI, "2022-02-19": SAT}
+    posts = raw(spark, *[_at(str(i), "a", c, followers=i) for i, c in enumerate(stamps.values())], day=list(stamps))
+    for order in ("string", "time"):
+        assert table(P.latest_profile(posts, order), "followers_count", "create_rank") == [(3, 1)]
+        assert table(P.user_history(posts, order=order), "followers_count", "create_rank") == [(0, 4), (1, 3), (2, 2), (3, 1)]
+        assert table(E.engagement_rate(posts, order=order), "followers_count") == [(3,)]
+
+
+def test_history_of_unreadable_dates(spark):
+    posts = raw(spark, *[_at(str(i), "a", None, followers=i) for i in range(3)], _at("4", "a", TUE, followers=4))
+    for order in ("string", "time"):
+        assert table(P.user_history(posts, order=order), "followers_count", "create_rank") == [(0, 2), (1, 2), (2, 2), (4, 1)]
+
+
 def test_unknown_order(spark):
     with pytest.raises(ValueError):
         P.latest_profile(raw(spark, _at("1", "a", TUE)), "newest")
@@ -154,6 +169,7 @@ def test_interactions_take_the_best_of_each_counter_within_a_day(spark):
     assert table(found) == [("a", "1", 8), ("c", "4", 1)]
     assert table(E.candidate_post_interactions(found, _cand(spark, "a", "z"))) == [("a", "1", 8)]
     assert table(E.counter_maxima(posts)) == [(2, 1, 5)]
+    assert table(E.post_interactions(posts, unknown_as_zero=True)) == [("a", "1", 8), ("b", "3", 2), ("c", "4", 1)]
 
 
 def test_totals_take_the_best_day_of_each_post(spark):

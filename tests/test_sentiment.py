@@ -31,19 +31,19 @@ def by_hand(text, lex, alpha=15.0):
 TEXTS = ["good good day", "BAD day", "Good, bad.", "plain words", "", "!!! 123", None, "é goodé bad", "bad " * 40 + "good"]
 
 
-@pytest.mark.parametrize("in_query", [50_000, 2])
-def test_scores_by_hand_within_rows_and_by_join(spark, in_query):
+@pytest.mark.parametrize("form", ["query", "join"])
+def test_scores_by_hand_within_rows_and_by_join(spark, form):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "id long, text string")
-    found = {r["id"]: r for r in S.sentiment_scores(df, "id", "text", _lex(spark), in_query=in_query).collect()}
+    found = {r["id"]: r for r in S.sentiment_scores(df, "id", "text", _lex(spark), form=form).collect()}
     assert len(found) == len(TEXTS)
     for i, text in enumerate(TEXTS):
         assert tuple(found[i][c] for c in S.SCORES) == pytest.approx(by_hand(text, LEX), nan_ok=True)
 
 
-@pytest.mark.parametrize("in_query", [50_000, 2])
-def test_equal_rows_stay_apart(spark, in_query):
+@pytest.mark.parametrize("form", ["query", "join"])
+def test_equal_rows_stay_apart(spark, form):
     df = spark.createDataFrame([("a", "good"), ("a", "good"), ("a", "bad")], "id string, text string")
-    scored = S.sentiment_scores(df, "id", "text", _lex(spark), in_query=in_query)
+    scored = S.sentiment_scores(df, "id", "text", _lex(spark), form=form)
     c = [by_hand(t, LEX)[3] for t in ("good", "good", "bad")]
     row = S.sentiment_by(scored.withColumnRenamed("id", "user_id_str"), "user_id_str").first()
     assert tuple(row) == ("a", 3, 2, pytest.approx(sum(c) / 3))
@@ -70,7 +70,7 @@ def test_null_texts_count_as_rows_without_a_score(spark):
 def test_whole_documents_score_alike_on_both_ways(spark):
     docs = derived.table(spark, SF_DIR, "documents")
     lex = lexicon(spark)
-    ways = [S.sentiment_scores(docs, "doc_id", "text", lex, in_query=n) for n in (50_000, 3)]
+    ways = [S.sentiment_scores(docs, "doc_id", "text", lex, form=f) for f in ("query", "join")]
     one, other = [{r[0]: tuple(r)[1:] for r in way.collect()} for way in ways]
     assert set(one) == set(other)
     values = {r["token"]: r["valence"] for r in lex.collect()}
@@ -87,3 +87,38 @@ def test_large_lexicon_stays_a_constant(spark):
     for r in S.sentiment_scores(df, "id", "text", lex).collect():
         assert tuple(r)[1:] == pytest.approx(by_hand(" ".join(w for w, _ in words[r["id"]::50]), known))
     assert table(df.limit(0)) == []
+
+
+def test_a_lexicon_is_checked_once_for_both_forms(spark):
+    df = spark.createDataFrame([(1, "Good bad GOOD")], "id long, text string")
+
+    def lex(*rows):
+        return spark.createDataFrame(rows, "token string, valence double")
+
+    folded = lex(("GOOD", 2.0), ("good", 2.0), ("Bad", -1.0))
+    scores = [S.sentiment_scores(df, "id", "text", folded, form=f).first() for f in ("query", "join")]
+    assert tuple(scores[0])[1:] == pytest.approx(by_hand("good bad good", {"good": 2.0, "bad": -1.0}))
+    assert tuple(scores[1]) == pytest.approx(tuple(scores[0]))
+    for wrong in (lex(("good", 2.0), ("Good", 3.0)), lex((None, 1.0)), lex(("good", None)), lex(("good", None), ("good", 1.0))):
+        for form in ("query", "join"):
+            with pytest.raises(ValueError):
+                S.sentiment_scores(df, "id", "text", wrong, form=form)
+
+
+def test_a_literal_lexicon_has_a_bound_and_never_changes_form(spark, monkeypatch):
+    monkeypatch.setattr(S, "LEXICON_IN_QUERY", 2)
+    df = spark.createDataFrame([(1, "good")], "id long, text string")
+    with pytest.raises(ValueError):
+        S.sentiment_scores(df, "id", "text", _lex(spark))
+    assert S.sentiment_scores(df, "id", "text", _lex(spark), form="join").count() == 1
+    with pytest.raises(ValueError):
+        S.sentiment_scores(df, "id", "text", _lex(spark), form="either")
+
+
+def test_large_lexicons_of_document_words_score_alike(spark):
+    docs = derived.table(spark, SF_DIR, "documents")
+    words = docs.selectExpr("explode(regexp_extract_all(text, '([A-Za-z]+)', 1)) AS word").selectExpr("lower(word) AS token").distinct()
+    lex = words.selectExpr("token", "CAST(pmod(hash(token), 9) - 4 AS DOUBLE) AS valence")
+    assert lex.count() > 5000
+    one, other = [{r[0]: tuple(r)[1:] for r in S.sentiment_scores(docs, "doc_id", "text", lex, form=f).collect()} for f in ("query", "join")]
+    assert set(one) == set(other) and all(one[k] == pytest.approx(other[k]) for k in one)

@@ -8,6 +8,7 @@ from pathlib import Path
 import pytest
 from conftest import post, reply_to, table
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echograph.schema import ORIGINAL_ROW, PAIR
@@ -73,7 +74,41 @@ def test_odd_escapes_are_read(spark, tmp_path):
 def test_a_corrupt_file_does_not_stop_the_read(spark, tmp_path):
     _day(tmp_path, "20220214", [json.dumps(post("1", "a", "x"))])
     (tmp_path / "20220214" / "bad.json.gz").write_bytes(b"\x1f\x8b\x08\x00garbage")
-    assert table(P.read_posts(spark, str(tmp_path) + "/20220214/*.json.gz"), "id_str") == [("1",)]
+    path = str(tmp_path) + "/20220214/*.json.gz"
+    with pytest.raises(Exception, match="FAILED_READ_FILE|gzip|Exception"):
+        P.read_posts(spark, path).collect()
+    assert table(P.read_posts(spark, path, skip_corrupt=True), "id_str") == [("1",)]
+
+
+def test_a_cut_file_fails_unless_its_rest_may_go(spark, tmp_path):
+    _day(tmp_path, "20220214", [json.dumps(post(str(i), "a", f"text {i * 7919}")) for i in range(3000)])
+    file = tmp_path / "20220214" / "part.json.gz"
+    file.write_bytes(file.read_bytes()[: file.stat().st_size // 3])
+    template = str(tmp_path) + "/{}/*.json.gz"
+    with pytest.raises(Exception, match="FAILED_READ_FILE|EOF|Exception"):
+        P.read_days(spark, template, ["20220214"]).collect()
+    assert 0 < P.read_days(spark, template, ["20220214"], skip_corrupt=True).count() < 3000
+
+
+def test_a_readable_post_without_a_date_is_kept(spark, tmp_path):
+    _day(tmp_path, "20220214", ['{"id_str": "1", "text": "x", "quote_count": "many"}', "{broken"])
+    template = str(tmp_path) + "/{}/*.json.gz"
+    assert table(P.read_days(spark, template, ["20220214"]), "id_str", "quote_count") == [("1", None)]
+    assert table(P.bad_lines(spark, template, ["20220214"])) == [(date(2022, 2, 14), 1)]
+
+
+def test_day_slices_are_newest_first(spark, tmp_path):
+    days = ["20220213", "20220214", "20220216", "20220217"]
+    for day in days:
+        _day(tmp_path, day, [json.dumps(post(day, "a"))])
+    template = str(tmp_path) + "/{}/*.json.gz"
+    asked = [*days, "20220215"]
+    slices = {(2, 0): days[:1:-1], (2, 1): ["20220216", "20220214"], (None, 3): ["20220213"], (9, 9): []}
+    for (newest, skip), want in slices.items():
+        assert table(P.read_days(spark, template, asked, newest=newest, skip=skip), "id_str") == [(d,) for d in sorted(want)]
+    found, skipped = P.split_days(spark, template, asked)
+    assert skipped == ["20220215"] and P.read_days(spark, template, found).count() == 4
+    assert P.split_days(spark, template, []) == ({}, [])
 
 
 def test_day_without_quotes_needs_no_inference(spark, tmp_path):
@@ -102,8 +137,7 @@ def test_csv_modes_and_header(spark, path):
     tables.write_csv(df, path("pairs"), mode="errorifexists")
     with pytest.raises(AnalysisException):
         tables.write_csv(df, path("pairs"), mode="errorifexists")
-    tables.write_csv(df, path("pairs"), header=True, single_file=True)
-    assert len(list(Path(path("pairs")).glob("*.csv"))) == 1
+    tables.write_csv(df, path("pairs"), header=True)
     assert table(tables.read_csv(spark, path("pairs"), PAIR, header=True)) == [("S1", "b", 2)]
 
 
@@ -124,6 +158,25 @@ def test_shared_folder_is_the_one_the_session_names(spark):
     assert all(f.startswith("file:") and base in f for f in kept.inputFiles())
 
 
+def test_a_job_leaves_nothing_in_the_shared_folder(spark):
+    base = Path(tables.shared_dir(spark))
+    before = set(base.iterdir())
+    with tables.job_folder(spark) as folder:
+        assert table(tables.stored(spark.range(3).toDF("n"), "numbers")) == [(0,), (1,), (2,)]
+        assert Path(folder).exists()
+    assert set(base.iterdir()) == before and not Path(folder).exists()
+    with pytest.raises(ValueError):
+        tables.removed(spark, str(base.parent))
+
+
+def test_rounds_keep_the_last_two_tables(spark):
+    rounds = tables.Rounds(spark, "steps")
+    for i in range(5):
+        df, seen = rounds.keep(spark.range(i + 1).toDF("n"), total=F.sum("n"), rows=F.count("n"))
+        assert seen == {"total": sum(range(i + 1)), "rows": i + 1} and df.count() == i + 1
+    assert sorted(p.name for p in Path(rounds.base).iterdir()) == ["3", "4"]
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     class Context:
         master = "yarn"
