@@ -39,7 +39,9 @@ from echograph.sources.tables import stored
 
 DISCOUNT = 0.75
 #: Tokens of a shard, on average: what a task holds in memory.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_500_000
+#: Pairs looked up at once.
+ASKED_AT_ONCE = 1 << 18
 #: Documents in which heavy words are looked for, which decides the layout only.
 HEAVY_DOCS = 2000
 #: Parts of a mean shard that make a context heavy, and bytes of a word for a guess at the number of tokens.
@@ -151,7 +153,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], layout) -> Iterator[pa.RecordBatch
                     continue
                 used = np.unique(np.concatenate([context[own], word[own]]))
                 body = {
-                    "names": names[used],
+                    "names": np.diff(names[used], prepend=np.uint64(0)),
                     "context": np.searchsorted(used, context[own]).astype(np.uint32),
                     "word": np.searchsorted(used, word[own]).astype(np.uint32),
                     "doc": doc[own].astype(np.uint32),
@@ -214,23 +216,29 @@ def _score_shard(shard: int, blobs: list[tuple[str, int, bytes]], layout: Layout
     """Trains and scores one shard; returns rows of kinds score, heavy, send, trie and total."""
     parts = [_unsqueeze(body) for _, _, body in blobs]
     chunks, of_blob = np.unique(np.array([c for _, c, _ in blobs]), return_inverse=True)
+    for p in parts:
+        p["names"] = np.cumsum(p["names"])
     words = np.unique(np.concatenate([p["names"] for p in parts]))
-    local = [np.searchsorted(words, p["names"]) for p in parts]
-    context = np.concatenate([m[p["context"]] for m, p in zip(local, parts, strict=True)])
-    word = np.concatenate([m[p["word"]] for m, p in zip(local, parts, strict=True)])
-    doc = np.concatenate([p["doc"] for p in parts]).astype(np.int64)
-    times = np.concatenate([p["times"] for p in parts]).astype(np.int64)
-    held = np.concatenate([np.unpackbits(p["held"])[p["doc"]] for p in parts]).astype(bool)
-    doc += np.repeat(of_blob, [len(p["doc"]) for p in parts]) << 32
-    del parts, local
-
-    key = context * len(words) + word
+    key = np.empty(sum(len(p["doc"]) for p in parts), np.int64)
+    doc, times, held = np.empty(len(key), np.int64), np.empty(len(key), np.int32), np.empty(len(key), bool)
+    at = 0
+    for p, chunk in zip(parts, of_blob.tolist(), strict=True):
+        part = slice(at, at := at + len(p["doc"]))
+        local = np.searchsorted(words, p.pop("names"))
+        key[part] = local[p["context"]] * len(words) + local[p["word"]]
+        doc[part] = p["doc"] + np.int64(chunk << 32)
+        times[part] = p["times"]
+        held[part] = np.unpackbits(p["held"])[p["doc"]]
+        p.clear()  # one copy of the pairs at a time
+
     order = np.argsort(key)
     key, doc, times, held = key[order], doc[order], times[order], held[order]
+    del order
     new = np.append(True, key[1:] != key[:-1])
     first = np.flatnonzero(new)
     group = np.cumsum(new) - 1
     pair_context, pair_word = np.divmod(key[first], len(words))
+    del key
     trained = np.add.reduceat(np.where(held, 0, times), first)
     kept = trained > 0
     known_words = np.unique(np.concatenate([pair_context[kept], pair_word[kept]]))
@@ -252,7 +260,10 @@ def _score_shard(shard: int, blobs: list[tuple[str, int, bytes]], layout: Layout
         follow = np.zeros(len(contexts), np.int64)
         follow[known] = trie.followers(place[known])
         which = np.cumsum(np.append(True, pair_context[1:] != pair_context[:-1])) - 1 if len(pair_context) else own
-        share, seen = trie.bigram(place[which], known[which], words[pair_word])
+        share, seen = np.empty(len(which)), np.empty(len(which), bool)
+        for i in range(0, len(which), ASKED_AT_ONCE):
+            some = slice(i, i + ASKED_AT_ONCE)
+            share[some], seen[some] = trie.bigram(place[which[some]], known[which[some]], words[pair_word[some]])
     finally:
         os.unlink(path)  # the mapping stays until the trie is dropped
 

@@ -100,8 +100,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     one in 2**64 for each pair.
     """
     coefficients = _BYTE[FOLD] if fold else _BYTE
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(coefficients[data] * _power("down", len(data)), out=sums[1:])
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    np.take(coefficients, data, out=sums[1:])
+    sums[1:] *= _power("down", len(data))
+    np.cumsum(sums[1:], out=sums[1:])
     up = _power("up", len(data) + 1)
     return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
 
