@@ -71,7 +71,7 @@ _SYMBOL, _MARK, _SEPARATOR = _chars(SYMBOLS), _chars("!?"), _chars("|")
 
 
 def _sums(flags: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(flags) + 1, np.int64)
+    sums = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
     np.cumsum(flags, out=sums[1:])
     return sums
 

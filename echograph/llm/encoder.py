@@ -10,15 +10,16 @@ text gives.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
 from echograph.llm import words as W
 
 #: Encoded pieces that a worker keeps between chunks.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _HIGH, _QUOTE = range(6)
 _CLASS = np.full(256, _SIGN, np.uint8)
@@ -98,11 +99,11 @@ class Encoder:
         self.model = self.tokenizer.model
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id = end_id
-        self.kept: dict[int, list[int]] = {}
-        self.older: dict[int, list[int]] = {}
+        self.kept: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
 
-    def _pieces(self, body: bytes, letters: str, todo: list[tuple[int, int, int, bool]]) -> list[list[int]]:
-        """Ids of each (hash, start, end, one class) piece; those met lately are kept."""
+    def _pieces(self, body: bytes, letters: str, todo: Iterable[tuple[int, int, int, bool]]) -> list[bytes]:
+        """Ids of each (hash, start, end, one class) piece, 4 bytes each; those met lately are kept."""
         tokenize, kept, older, out = self.model.tokenize, self.kept, self.older, []
         for key, start, end, plain in todo:
             ids = kept.get(key)
@@ -110,9 +111,9 @@ class Encoder:
                 ids = older.get(key)
                 if ids is None:
                     if plain or body[start:end].decode().lstrip(" ").isalpha():
-                        ids = [t.id for t in tokenize(letters[start:end])]
+                        ids = array("I", [t.id for t in tokenize(letters[start:end])]).tobytes()
                     else:
-                        ids = self._whole(body[start:end]).tolist()
+                        ids = self._whole(body[start:end]).tobytes()
                 kept[key] = ids
             out.append(ids)
         if len(kept) >= KEPT_PIECES:
@@ -135,9 +136,9 @@ class Encoder:
         plain = ((odd[b] == odd[a]) & ~((data[b - 1] == 0x20) & (b - a > 1))).tolist() if len(a) else []
         body = data.tobytes()
         letters = _LETTERS[data].tobytes().decode("utf-32-le")
-        parts = self._pieces(body, letters, list(zip(distinct.tolist(), a.tolist(), b.tolist(), plain, strict=True)))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        pool = np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum()))
+        parts = self._pieces(body, letters, zip(distinct.tolist(), a.tolist(), b.tolist(), plain, strict=True))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        pool = np.frombuffer(b"".join(parts), np.uint32)
         pool_at = np.cumsum(sizes) - sizes
         many = sizes[which] if len(which) else np.empty(0, np.int64)
         before = np.concatenate([[0], np.cumsum(many)])

@@ -40,6 +40,8 @@ from echograph.sources.tables import stored
 DISCOUNT = 0.75
 #: Tokens of a shard, on average: what a task holds in memory.
 SHARD_TOKENS = 1_500_000
+#: Bytes of a chunk: larger ones repeat fewer words in the rows that are dealt out.
+CHUNK_BYTES = 4 << 20
 #: Pairs looked up at once.
 ASKED_AT_ONCE = 1 << 18
 #: Documents in which heavy words are looked for, which decides the layout only.
@@ -123,7 +125,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], layout) -> Iterator[pa.RecordBatch
     chunk = TaskContext.get().partitionId() << 32
     for batch in batches:
         id_type = batch.schema.field("id").type
-        for i, j, data, offsets in W.chunks(batch):
+        for i, j, data, offsets in W.chunks(batch, max_bytes=CHUNK_BYTES):
             rows = j - i
             held = np.asarray(batch.column("held")[i:j].to_numpy(zero_copy_only=False), bool)
             starts, ends = W.runs(W.PLAIN[data], offsets)

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 #: Java pattern of a word, as the kernel's ``PLAIN`` table finds it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -78,7 +78,7 @@ def owner(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _power(kind: str, n: int) -> np.ndarray:
     if len(_powers[kind]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
+        size = max(n + n // 8, CHUNK_BYTES + (1 << 16))
         steps = np.full(size, _BASE if kind == "up" else _INVERSE, np.uint64)
         steps[0] = 1
         _powers[kind] = np.cumprod(steps)
