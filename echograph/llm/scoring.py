@@ -39,7 +39,7 @@ from echograph.sources.tables import stored
 
 DISCOUNT = 0.75
 #: Tokens of a shard, on average: what a task holds in memory.
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 2_000_000
 #: Bytes of a chunk: larger ones repeat fewer words in the rows that are dealt out.
 CHUNK_BYTES = 4 << 20
 #: Pairs looked up at once.
@@ -280,7 +280,7 @@ def _score_shard(shard: int, blobs: list[tuple[str, int, bytes]], layout: Layout
 
     rows: list[dict] = []
     docs, score, plain, n_known = _sums(doc, times * gain[group], times * base[group], times * is_known[group])
-    arrays = {"doc": (docs & 0xFFFFFFFF).astype(np.uint32), "score": score, "base": plain, "known": n_known.astype(np.uint32)}
+    arrays = {"doc": (docs & 0xFFFFFFFF).astype(np.uint32), "score": score.astype(np.float32), "base": plain, "known": n_known.astype(np.uint32)}
     rows += _chunk_rows(chunks, docs >> 32, "score", arrays)
 
     entry = np.flatnonzero(is_heavy[group])
@@ -332,25 +332,25 @@ def _score(batches: Iterator[pa.RecordBatch], layout, discount: float) -> Iterat
 
 
 def _unigrams(batches: Iterator[pa.RecordBatch], total: float) -> Iterator[pa.RecordBatch]:
-    """Adds the unigram of every word sent on: rows sorted by shard, its trie among them."""
-    id_type = pa.int64()
+    """The unigrams of all words sent to a shard, added up by document: rows sorted by shard, its trie among them."""
     for _, blobs, _ in _by_shard(batches):
+        sent = [_unsqueeze(body) for kind, _, body in blobs if kind == "send"]
+        if not sent:
+            continue
         tries = [body for kind, _, body in blobs if kind == "trie"]
         trie, path = _mapped(tries[0]) if tries else (None, None)
         try:
-            for kind, _, body in blobs:
-                if kind != "send":
-                    continue
-                sent = _unsqueeze(body)
-                count = trie.count(sent["names"]) if trie else np.zeros(len(sent["names"]), np.int64)
-                gain = np.log10(count + 1.0) - total
-                docs, score = _sums(sent["doc"], sent["times"] * gain[sent["word"]])
-                arrays = {"doc": (docs & 0xFFFFFFFF).astype(np.uint32), "score": score}
-                zeros = {"base": np.zeros(len(docs)), "known": np.zeros(len(docs), np.uint32)}
-                yield _rows(_chunk_rows(sent["chunks"], docs >> 32, "score", arrays | zeros), id_type)
+            counts = [trie.count(s["names"]) if trie else np.zeros(len(s["names"]), np.int64) for s in sent]
         finally:
             if path:
                 os.unlink(path)
+        chunks = np.unique(np.concatenate([s["chunks"] for s in sent]))
+        doc = [(np.searchsorted(chunks, s["chunks"])[s["doc"] >> 32] << 32) + (s["doc"] & 0xFFFFFFFF) for s in sent]
+        gain = [s["times"] * (np.log10(c + 1.0) - total)[s["word"]] for s, c in zip(sent, counts, strict=True)]
+        docs, score = _sums(np.concatenate(doc), np.concatenate(gain))
+        arrays = {"doc": (docs & 0xFFFFFFFF).astype(np.uint32), "score": score.astype(np.float32)}
+        zeros = {"base": np.zeros(len(docs)), "known": np.zeros(len(docs), np.uint32)}
+        yield _rows(_chunk_rows(chunks, docs >> 32, "score", arrays | zeros), pa.int64())
 
 
 def _final(batches: Iterator[pa.RecordBatch], totals: dict, discount: float) -> Iterator[pa.RecordBatch]:
@@ -455,14 +455,14 @@ def scored(
     row = _ROW.format(id=narrow.schema["id"].dataType.simpleString())
     flagged = narrow.withColumn("held", F.coalesce(held_out(F.col("id")), F.lit(False)))
     pairs = flagged.mapInArrow(partial(_pairs, layout=spread), row)
-    dealt = pairs.repartition(layout.shards, "shard").sortWithinPartitions("shard", "chunk")
+    dealt = pairs.repartitionById(layout.shards, "shard").sortWithinPartitions("shard", "chunk")
     first = stored(dealt.mapInArrow(partial(_score, layout=spread, discount=discount), row), "scored")
     totals = _totals(first, layout)
 
     # The second exchange has long ids in its rows; none of them is a document's.
     plain = _ROW.format(id="long")
     sends = first.filter("kind in ('send', 'trie')").withColumn("id", F.lit(None).cast("long"))
-    by_word = sends.repartition(layout.shards, "shard").sortWithinPartitions("shard", "kind")
+    by_word = sends.repartitionById(layout.shards, "shard").sortWithinPartitions("shard", "kind")
     whole = float(np.log10(totals["n"] + totals["v"] + 1))
     singles = by_word.mapInArrow(partial(_unigrams, total=whole), plain).withColumn("id", F.lit(None).cast(narrow.schema["id"].dataType))
 
