@@ -4,13 +4,15 @@ The lexicon is a table ``(token, valence)``.  Per text, with ``total`` the sum o
 the valences of its words: ``compound = total / sqrt(total^2 + alpha)``; ``pos``
 sums ``v + 1`` over positive words, ``neg`` sums ``|v| + 1`` over negative ones,
 ``neu`` counts the rest, each as a share of the three.  This is the core of the
-VADER method (Hutto & Gilbert 2014); its booster, negation and punctuation rules
-are not applied.
+VADER method (Hutto & Gilbert 2014).  ``Rules`` adds its boosters, negations,
+capitals and exclamation marks.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,23 @@ SCORES = [
 ]
 
 
+# Fixed values of the published method: increments and words.
+BOOST, CAPITALS, EXCLAMATION, NEGATED, MOST_MARKS = 0.293, 0.733, 0.292, -0.74, 4
+#: What is left of a booster one, two and three words before.
+FADING = [1.0, 0.95, 0.9]
+MORE = ["absolutely", "completely", "extremely", "highly", "incredibly", "more", "most", "really", "so", "totally", "very"]
+LESS = ["almost", "barely", "hardly", "less", "little", "partly", "scarcely", "slightly", "somewhat"]
+NOT = ["aint", "cannot", "neither", "never", "none", "nor", "not", "nothing", "nowhere", "rarely", "seldom", "without"]
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Changes to a word's valence by the three words before it, by its capitals, and by the text's marks."""
+
+    boosters: Mapping[str, float] = field(default_factory=lambda: dict.fromkeys(MORE, BOOST) | dict.fromkeys(LESS, -BOOST))
+    negations: Sequence[str] = tuple(NOT)
+
+
 def checked_lexicon(lex: DataFrame) -> DataFrame:
     """``(token, valence)`` with lower-cased tokens, each once.
 
@@ -91,6 +110,41 @@ def _sums(valences: Column) -> Column:
     return F.aggregate(valences, start, add)
 
 
+def _ruled_sums(text: Column, lexicon: Column, slots: int, rules: Rules) -> Column:
+    """The sums with ``rules``, in one pass that remembers the three words before."""
+    boosts = F.create_map(*[F.lit(x) for pair in rules.boosters.items() for x in pair])
+    negations = F.array(*map(F.lit, rules.negations))
+    mixed = text.rlike("[a-z]")
+    before = ["b1", "b2", "b3"]
+    denied = ["g1", "g2", "g3"]
+    zero = {name: F.lit(0.0) for name in SUMS + before} | {name: F.lit(False) for name in denied}
+
+    def add(state: Column, word: Column) -> Column:
+        token = F.lower(word)
+        v = F.coalesce(F.try_element_at(F.get(lexicon, _slot(token, slots)), token), F.lit(0.0))
+        loud = F.when(mixed & (F.length(word) > 1) & (word == F.upper(word)), F.lit(CAPITALS)).otherwise(F.lit(0.0))
+        more = sum((state[b] * F.lit(part) for b, part in zip(before, FADING, strict=True)), loud)
+        turned = F.when(state["g1"] | state["g2"] | state["g3"], F.lit(NEGATED)).otherwise(F.lit(1.0))
+        parts = _parts((v + F.signum(v) * more) * turned)
+        new = {name: state[name] + part for name, part in parts.items()}
+        new |= {"b1": F.coalesce(F.try_element_at(boosts, token), F.lit(0.0)), "b2": state["b1"], "b3": state["b2"]}
+        new |= {"g1": F.array_contains(negations, token), "g2": state["g1"], "g3": state["g2"]}
+        return F.struct(*[new[name].alias(name) for name in zero])
+
+    def finish(state: Column) -> Column:
+        marks = F.least(F.regexp_count(text, F.lit("!")), F.lit(MOST_MARKS)) * F.lit(EXCLAMATION)
+        out = {
+            "total": state["total"] + F.signum(state["total"]) * marks,
+            "pos": state["pos"] + F.when(state["pos"] > state["neg"], marks).otherwise(F.lit(0.0)),
+            "neg": state["neg"] + F.when(state["neg"] > state["pos"], marks).otherwise(F.lit(0.0)),
+            "neu": state["neu"],
+        }
+        return F.struct(*[out[name].alias(name) for name in SUMS])
+
+    start = F.struct(*[value.alias(name) for name, value in zero.items()])
+    return F.aggregate(F.regexp_extract_all(text, F.lit("([A-Za-z]+)"), 1), start, add, finish)
+
+
 def _scores(alpha: float) -> list[Column]:
     """Score columns of ``total, pos, neg, neu``; null sums give null scores."""
     total, weight = F.col("total"), F.col("pos") + F.col("neg") + F.col("neu")
@@ -115,6 +169,7 @@ def sentiment_scores(
     lex: DataFrame,
     alpha: float = 15.0,
     form: str = "query",
+    rules: Rules | None = None,
 ) -> DataFrame:
     """``id`` columns and five scores per row of ``df``.
 
@@ -123,10 +178,13 @@ def sentiment_scores(
     caller's choice and changes no score: ``query`` writes the lexicon into the
     query, so rows are scored where they are, and refuses more than
     ``LEXICON_IN_QUERY`` entries; ``join`` joins it word by word, whatever its size.
+    ``rules`` need the words in order and so go with ``query`` only.
     """
     ids = [id] if isinstance(id, str) else list(id)
     if form not in ("query", "join"):
         raise ValueError(f"unknown form {form!r}")
+    if rules is not None and form != "query":
+        raise ValueError("rules need form='query'")
     lex = checked_lexicon(lex)
     if form == "join":
         sums = _joined_sums(df, ids, text, lex)
@@ -135,7 +193,8 @@ def sentiment_scores(
         if size > LEXICON_IN_QUERY:
             raise ValueError(f"more than {LEXICON_IN_QUERY} lexicon entries: use form='join'")
         lexicon, slots = _lexicon_column(lex, size)
-        valued = df.select(*ids, _sums(_valences(F.col(text), lexicon, slots)).alias("sums"))
+        found = _sums(_valences(F.col(text), lexicon, slots)) if rules is None else _ruled_sums(F.col(text), lexicon, slots, rules)
+        valued = df.select(*ids, found.alias("sums"))
         sums = valued.select(*ids, "sums.*")
     return sums.select(*ids, *_scores(alpha))
 

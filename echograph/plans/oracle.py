@@ -5,7 +5,7 @@ Written against DuckDB.  Iterations are unrolled into one CTE per step.
 
 from __future__ import annotations
 
-from echograph.plans.queries import CANDIDATES, LEXICON, TERMS, TOP, TOPIC
+from echograph.plans.queries import BOOSTERS, CANDIDATES, LEXICON, NEGATIONS, TERMS, TOP, TOPIC
 
 PATTERN = "(?i)" + "|".join(TERMS)
 TOPIC_PATTERN = "(?i)" + "|".join(TOPIC)
@@ -284,16 +284,52 @@ def _interactions(source: str, keys: str) -> str:
 LEX = "lex(token, valence) AS (VALUES " + ", ".join(f"('{t}', {v}::DOUBLE)" for t, v in LEXICON) + ")"
 
 
-def _scored(source: str, columns: str) -> list[str]:
-    return [
-        LEX,
-        f"base AS MATERIALIZED (SELECT row_number() OVER () AS rid, {columns}, text FROM {source})",
-        """tok AS (
+PLAIN_SUMS = [
+    """tok AS (
   SELECT rid, lower(word) AS token FROM (SELECT rid, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM base))""",
-        """sums AS (
+    """sums AS (
   SELECT rid, sum(v) AS total, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS pos,
          sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS neg, sum(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS neu
   FROM (SELECT rid, coalesce(valence, 0.0::DOUBLE) AS v FROM tok LEFT JOIN lex USING (token)) GROUP BY rid)""",
+]
+
+_BOOSTS = "CASE lower(word) " + " ".join(f"WHEN '{w}' THEN {v}::DOUBLE" for w, v in BOOSTERS.items()) + " ELSE 0 END"
+_DENIED = "lower(word) IN (" + ", ".join(f"'{w}'" for w in NEGATIONS) + ")"
+_ORDER = "OVER (PARTITION BY rid ORDER BY i)"
+
+RULED_SUMS = [
+    """tok AS (
+  SELECT rid, regexp_matches(text, '[a-z]') AS mixed, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word,
+         unnest(range(len(regexp_extract_all(text, '[A-Za-z]+')))) AS i FROM base)""",
+    f"""near AS (
+  SELECT *, lower(word) AS token,
+         coalesce(lag({_BOOSTS}, 1) {_ORDER}, 0) + 0.95 * coalesce(lag({_BOOSTS}, 2) {_ORDER}, 0)
+           + 0.9 * coalesce(lag({_BOOSTS}, 3) {_ORDER}, 0)
+           + CASE WHEN mixed AND length(word) > 1 AND word = upper(word) THEN 0.733 ELSE 0 END AS more,
+         coalesce(lag({_DENIED}, 1) {_ORDER}, false) OR coalesce(lag({_DENIED}, 2) {_ORDER}, false)
+           OR coalesce(lag({_DENIED}, 3) {_ORDER}, false) AS denied
+  FROM tok)""",
+    """val AS (
+  SELECT rid, CASE WHEN denied THEN -0.74::DOUBLE ELSE 1.0::DOUBLE END
+    * (coalesce(valence, 0.0::DOUBLE) + sign(coalesce(valence, 0.0::DOUBLE)) * more::DOUBLE) AS v
+  FROM near LEFT JOIN lex USING (token))""",
+    """plain AS (
+  SELECT rid, sum(v) AS total, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS pos,
+         sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS neg, sum(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS neu
+  FROM val GROUP BY rid)""",
+    """sums AS (
+  SELECT rid, total + sign(total) * marks AS total, pos + CASE WHEN pos > neg THEN marks ELSE 0 END AS pos,
+         neg + CASE WHEN neg > pos THEN marks ELSE 0 END AS neg, neu
+  FROM (SELECT plain.*, least(len(regexp_extract_all(text, '!')), 4) * 0.292::DOUBLE AS marks
+        FROM plain JOIN base USING (rid)))""",
+]
+
+
+def _scored(source: str, columns: str, sums: list[str] = PLAIN_SUMS) -> list[str]:
+    return [
+        LEX,
+        f"base AS MATERIALIZED (SELECT row_number() OVER () AS rid, {columns}, text FROM {source})",
+        *sums,
         f"""scored AS (
   SELECT {columns},
          CASE WHEN pos + neg + neu > 0 THEN neg / (pos + neg + neu) ELSE text_known END AS sentiment_neg,
@@ -320,12 +356,10 @@ FROM scored GROUP BY {key}""",
     )
 
 
-TURN_SCORES = _with(
-    *_scored("conversations", "conv_id, turn"),
-    select="""SELECT conv_id, turn, round(sentiment_neg, 9) AS sentiment_neg, round(sentiment_neu, 9) AS sentiment_neu,
+TURN_COLUMNS = """SELECT conv_id, turn, round(sentiment_neg, 9) AS sentiment_neg, round(sentiment_neu, 9) AS sentiment_neu,
   round(sentiment_pos, 9) AS sentiment_pos, round(sentiment_compound, 9) AS sentiment_compound,
-  sentiment_compound_pos_ind FROM scored""",
-)
+  sentiment_compound_pos_ind FROM scored"""
+TURN_SCORES = _with(*_scored("conversations", "conv_id, turn"), select=TURN_COLUMNS)
 
 ORACLE: dict[str, str] = {
     "archive_influencers": _with(
@@ -534,6 +568,7 @@ USING (user_id_str) WHERE user_id_str IN (SELECT user_id_str FROM cand)""",
     ),
     "sentiment_scores": TURN_SCORES,
     "sentiment_scores_joined": TURN_SCORES,
+    "sentiment_scores_rules": _with(*_scored("conversations", "conv_id, turn", RULED_SUMS), select=TURN_COLUMNS),
     "sentiment_by_author": _sentiment_by(
         f"(SELECT * FROM flat WHERE coalesce({REFERENCES}) IS NULL)", "user_id_str", ""
     ),

@@ -35,6 +35,10 @@ LEXICON = [
     ("for", -0.9),
 ]
 
+#: Frequent words that the rules take for boosters and negations.
+BOOSTERS = {"in": 0.293, "with": 0.293, "was": -0.293}
+NEGATIONS = ["an", "this"]
+
 CANDIDATES = 20
 TOP = 50
 
@@ -436,9 +440,13 @@ def q_sentiment_scores_joined(spark, sf):
     return _turn_scores(spark, sf, "join")
 
 
-def _turn_scores(spark, sf, form: str) -> DataFrame:
+def q_sentiment_scores_rules(spark, sf):
+    return _turn_scores(spark, sf, "query", sentiment.Rules(BOOSTERS, NEGATIONS))
+
+
+def _turn_scores(spark, sf, form: str, rules: sentiment.Rules | None = None) -> DataFrame:
     turns = derived.table(spark, sf, "conversations")
-    scored = sentiment.sentiment_scores(turns, ["conv_id", "turn"], "text", lexicon(spark), form=form)
+    scored = sentiment.sentiment_scores(turns, ["conv_id", "turn"], "text", lexicon(spark), form=form, rules=rules)
     return scored.select(
         "conv_id",
         "turn",

@@ -122,3 +122,34 @@ def test_large_lexicons_of_document_words_score_alike(spark):
     assert lex.count() > 5000
     one, other = [{r[0]: tuple(r)[1:] for r in S.sentiment_scores(docs, "doc_id", "text", lex, form=f).collect()} for f in ("query", "join")]
     assert set(one) == set(other) and all(one[k] == pytest.approx(other[k]) for k in one)
+
+
+def ruled_by_hand(text, lex, rules):
+    words = re.findall("[A-Za-z]+", text)
+    v = []
+    for i, word in enumerate(words):
+        x = lex.get(word.lower(), 0.0)
+        before = [w.lower() for w in reversed(words[max(0, i - 3) : i])]
+        more = sum(rules.boosters.get(w, 0.0) * part for w, part in zip(before, S.FADING))
+        if re.search("[a-z]", text) and len(word) > 1 and word == word.upper():
+            more += S.CAPITALS
+        x += (x > 0) * more - (x < 0) * more
+        v.append(x * (S.NEGATED if any(w in rules.negations for w in before) else 1.0))
+    total = sum(v)
+    pos, neg, neu = sum(x + 1 for x in v if x > 0), sum(1 - x for x in v if x < 0), sum(1 for x in v if x == 0)
+    marks = min(4, text.count("!")) * S.EXCLAMATION
+    total, pos, neg = total + (total > 0) * marks - (total < 0) * marks, pos + (pos > neg) * marks, neg + (neg > pos) * marks
+    return neg / (pos + neg + neu), neu / (pos + neg + neu), pos / (pos + neg + neu), total / math.sqrt(total * total + 15)
+
+
+def test_rules_by_hand(spark):
+    texts = ["not good", "very very good day!!", "It is GOOD", "GOOD DAY", "never so very bad!!!!!!", "slightly bad, not a really good end", "good without a bad day"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rules = S.Rules()
+    scored = {r["id"]: tuple(r)[1:5] for r in S.sentiment_scores(df, "id", "text", _lex(spark), rules=rules).collect()}
+    for i, text in enumerate(texts):
+        assert scored[i] == pytest.approx(ruled_by_hand(text, LEX, rules)), text
+    empty = spark.createDataFrame([(1, None), (2, "")], "id long, text string")
+    assert [r["sentiment_compound"] for r in S.sentiment_scores(empty, "id", "text", _lex(spark), rules=rules).orderBy("id").collect()] == [None, 0.0]
+    with pytest.raises(ValueError):
+        S.sentiment_scores(df, "id", "text", _lex(spark), form="join", rules=rules)
