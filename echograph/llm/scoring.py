@@ -44,7 +44,7 @@ SHARD_TOKENS = 2_000_000
 CHUNK_BYTES = 4 << 20
 #: Pairs looked up at once.
 ASKED_AT_ONCE = 1 << 18
-#: Documents in which heavy words are looked for, which decides the layout only.
+#: Documents, about, in which heavy words are looked for, which decides the layout only.
 HEAVY_DOCS = 2000
 #: Parts of a mean shard that make a context heavy, and bytes of a word for a guess at the number of tokens.
 HEAVY_SHARE, TOKEN_BYTES = 0.25, 6
@@ -95,23 +95,31 @@ class Layout:
         return (W.mix(context + part) % np.uint64(self.shards)).astype(np.int64)
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of each chunk; every document adds a start and an end."""
+    for batch in batches:
+        for i, j, data, offsets in W.chunks(batch):
+            starts, ends = W.runs(W.PLAIN[data], offsets)
+            words, n = np.unique(W.span_hashes(data, starts, ends, fold=True), return_counts=True)
+            words, n = np.append(words, [START, END]), np.append(n, [j - i, j - i])
+            yield pa.RecordBatch.from_pydict({"word": pa.array(words.view(np.int64)), "n": pa.array(n, pa.int64())})
+
+
 def layout_for(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> Layout:
-    """The number of shards from the size of the texts, heavy words from a bounded sample of them."""
+    """The number of shards from the size of the texts; heavy words from about ``HEAVY_DOCS`` documents.
+
+    Fewer words than ``shards / HEAVY_SHARE`` can be heavy.
+    """
     size, count = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     shards = max(1, round(((size or 0) / TOKEN_BYTES + count) / shard_tokens))
-    sample = docs.select(F.xxhash64(F.lit(29), "id").alias("h"), "text").orderBy("h").limit(HEAVY_DOCS).select("text")
-    counts: dict[int, int] = {int(START): 0, int(END): 0}
-    for row in sample.toLocalIterator():
-        body = np.frombuffer((row["text"] or "").encode(), np.uint8)
-        starts, ends = W.runs(W.PLAIN[body], np.array([0, len(body)]))
-        for word, n in zip(*(x.tolist() for x in np.unique(W.span_hashes(body, starts, ends, fold=True), return_counts=True)), strict=True):
-            counts[word] = counts.get(word, 0) + n
-        counts[int(START)] += 1
-        counts[int(END)] += 1
-    total = max(1, sum(counts.values()))
-    parts = {w: n / total * shards / HEAVY_SHARE for w, n in counts.items()}
-    heavy = sorted({w for w, p in parts.items() if p > 1} | {int(START), int(END)})
-    return Layout(shards, np.array(heavy, np.uint64), np.array([int(parts[w]) + 1 for w in heavy]))
+    every = max(1, count // HEAVY_DOCS)
+    sample = docs.filter(F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(every)) == 0).select("text")
+    counts = stored(sample.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "sampled_words")
+    total = max(1, counts.agg(F.sum("n")).first()[0] or 0)
+    part = F.col("n") * F.lit(shards / HEAVY_SHARE / total)
+    parts = {np.int64(r["word"]).astype(np.uint64): r["part"] for r in counts.select("word", part.alias("part")).filter("part > 1").collect()}
+    heavy = sorted({*parts, START, END})
+    return Layout(shards, np.array(heavy, np.uint64), np.array([int(parts.get(w, 0)) + 1 for w in heavy]))
 
 
 def _rows(rows: list[dict], id_type: pa.DataType) -> pa.RecordBatch:

@@ -4,7 +4,7 @@ The files are the rows of a table in the shared folder: Spark's writer reaches
 any store and survives lost executors, which a file opened in a task does not.
 ``export`` takes one out for ``np.memmap``.
 
-Ids ascend, null first; rows of one id are ordered by their text.  Null and
+Ids ascend, null first; rows of one id are ordered by a hash of their text.  Null and
 empty texts are the end id alone.  A document never crosses files, so a file
 holds at least ``file_ids`` ids only if its last document takes it there.  An
 empty table gives no file.
