@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from echograph.llm import words as W
 from echograph.llm.components import components
+from echograph.llm.rows import with_row
 from echograph.sources.tables import stored
 
 #: Jaccard similarity of at least TENTHS / 10.
@@ -367,14 +368,14 @@ def joined(docs: DataFrame, id_column: str = "doc_id", **how) -> DataFrame:
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", **how) -> DataFrame:
     """One document of each component, the one with the smallest id; columns as in ``docs``.
 
-    Rows are numbered in a stored copy, so rows of one id stay apart; of equal
-    rows the first stays.  Documents without words all stay.  ``docs`` must not
-    have a column ``__row``.
+    Rows of one id stay apart; of equal rows one stays.  Documents without words
+    all stay.  ``docs`` must not have columns ``__row`` and ``__id``.
     """
-    numbered = stored(docs.select(F.struct(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("n")).alias("__row"), *docs.columns), "numbered")
-    members = Join(numbered, "__row", **how).membership()
-    kept = members.filter("id = component_id").select(F.col("id.n").alias("__n"))
-    return numbered.join(kept, F.col("__row.n") == F.col("__n"), "left_semi").select(*docs.columns)
+    numbered = with_row(docs, "__row")
+    named = numbered.withColumn("__id", F.struct(F.col(id_column).alias("id"), F.col("__row").alias("row")))
+    members = Join(named, "__id", **how).membership()
+    kept = members.filter("id = component_id").select(F.col("id.row").alias("__row"))
+    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 #: The query's columns in SQL.

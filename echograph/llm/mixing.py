@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from echograph.llm.rows import with_row
 from echograph.llm.words import WORD
 from echograph.sources.tables import stored
 
@@ -193,10 +194,9 @@ def sized_documents(docs: DataFrame, row: str = "doc_id", doc: str = "doc_id", t
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns as in ``docs``.
 
-    Rows are numbered in a stored copy, so that equal rows stay apart.  ``docs``
-    must not have columns ``__row`` and ``__copy``.
+    Equal rows stay apart.  ``docs`` must not have columns ``__row`` and ``__copy``.
     """
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("__row"), *docs.columns), "numbered")
+    numbered = with_row(docs, "__row")
     chosen = mix_sizes(sized_documents(numbered, row="__row"), **how).filter("copies > 0")
     copies = chosen.select(F.col("row").alias("__row"), F.sequence(F.lit(1).cast("long"), "copies").alias("__copy"))
     return numbered.join(copies, "__row").withColumn("__copy", F.explode("__copy")).select(*docs.columns)
