@@ -34,7 +34,8 @@ from echograph.sources.tables import stored
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
-SHARD_BYTES = 6 << 20
+#: Bytes of a training shard: whole documents.
+SHARD_BYTES = W.CHUNK_BYTES
 
 _FOUND = "n_words long, spans array<struct<start: long, end: long>>, items array<string>"
 

@@ -19,7 +19,7 @@ import numpy as np
 from echograph.llm import words as W
 
 #: Encoded pieces that a worker keeps between chunks.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 100_000
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _HIGH, _QUOTE = range(6)
 _CLASS = np.full(256, _SIGN, np.uint8)

@@ -24,12 +24,16 @@ MEMORY = {
     "MALLOC_TRIM_THRESHOLD_": str(1 << 20),
 }
 
+#: Texts differ in size without bound, so batches for workers are closed by bytes.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
 
 def importable(spark: SparkSession) -> None:
     """Puts the package's folder on the path of the session's Python workers, and sets their memory use."""
     environment = spark.sparkContext.environment
     for name, value in MEMORY.items():
         environment.setdefault(name, value)
+    spark.conf.set(BATCH[0], str(BATCH[1]))
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in known:
         environment["PYTHONPATH"] = os.pathsep.join([*known, ROOT])

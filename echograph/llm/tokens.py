@@ -30,7 +30,7 @@ from echograph.sources.tables import stored
 
 END_ID = 2
 FILE_IDS = 1 << 21
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = W.CHUNK_BYTES
 
 _FILES = "part int, file int, before long, n_ids long, n_docs long, body binary"
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"

@@ -1,0 +1,32 @@
+from __future__ import annotations
+
+import os
+
+from echograph.llm.rows import with_row
+from echograph.llm.shipping import MEMORY, ROOT, importable
+
+
+def test_rows_of_files_are_told_apart_and_stay_the_same(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "a")] * 30 + [(None, None)] * 3, "doc_id long, text string").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    first = with_row(docs, "__row").select("__row").collect()
+    assert len({r[0] for r in first}) == 33
+    assert sorted(first) == sorted(with_row(docs.filter("true"), "__row").select("__row").collect())
+
+
+def test_other_rows_are_numbered_once(spark):
+    docs = spark.createDataFrame([(1, "a")] * 30, "doc_id long, text string").repartition(4)
+    rows = with_row(docs, "__row")
+    assert rows.columns == ["__row", "doc_id", "text"] and rows.select("__row").distinct().count() == 30
+    assert sorted(rows.collect()) == sorted(rows.collect())
+    named = spark.createDataFrame([(1, "a")] * 3, "doc_id long, _metadata string")
+    assert with_row(named, "__row").select("__row").distinct().count() == 3
+
+
+def test_workers_get_the_package_and_the_settings(spark):
+    importable(spark)
+    importable(spark)
+    environment = spark.sparkContext.environment
+    assert environment["PYTHONPATH"].split(os.pathsep).count(ROOT) == 1
+    assert all(environment[k] == v for k, v in MEMORY.items())
