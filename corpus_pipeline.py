@@ -19,6 +19,9 @@ from echograph.sources.tables import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Near copies share this part (in tenths) of their runs of so many words.  Op9 alone has a rule of its own.
+NEAR_WORDS, NEAR_TENTHS = 5, 8
+
 
 @on_workers
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @on_workers
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest id, empty texts all."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, shingle=NEAR_WORDS, tenths=NEAR_TENTHS)
 
 
 @on_workers

@@ -1,7 +1,8 @@
 """N-gram Jaccard join by universe partition and pigeonhole (Deng, Li, Wen, Feng, PVLDB 2015).
 
 A text's set is that of its distinct word shingles.  Sets of size s and t with
-Jaccard similarity of at least 0.9 differ in at most (s + t) / 19 shingles.
+Jaccard similarity of at least 0.9 differ in at most (s + t) / 19 shingles, of
+at least 0.8 in at most (s + t) / 9.
 For each band of sizes the universe of shingles is hashed into segments, more
 of them than a pair may have differences, so some segment must be equal; or
 fewer, and some must be equal up to one shingle.  Which of the two is indexed

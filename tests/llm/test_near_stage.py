@@ -1,0 +1,81 @@
+"""The pipeline's near-duplicate stage against brute force at five words and a similarity of 0.8."""
+
+from __future__ import annotations
+
+import random
+
+import numpy as np
+
+import corpus_pipeline as pipeline
+from echograph.llm import jaccard
+
+from .conftest import SF_DIR, folded, plain_words
+
+
+def shingle_set(text, n):
+    words = plain_words(folded(text))
+    return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) or frozenset([tuple(words)] if words else [])
+
+
+def stay(rows, n, tenths):
+    """Smallest id of each group of linked (id, text) rows; rows without words stay alone."""
+    sets = [shingle_set(t, n) for _, t in rows]
+    part = list(range(len(rows)))
+
+    def root(i):
+        while part[i] != i:
+            i = part[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 10 * both >= tenths * (len(sets[i]) + len(sets[j]) - both):
+                part[max(root(i), root(j))] = min(root(i), root(j))
+    return sorted(rows[i][0] for i in range(len(rows)) if root(i) == i)
+
+
+def test_copies_between_the_two_rules_go(spark, documents):
+    base = [f"w{i}" for i in range(100)]
+    two_words = [*base[:30], "x", *base[31:70], "y", *base[71:]]
+    longer = base + [f"more{i}" for i in range(22)]
+    too_far = base + [f"other{i}" for i in range(26)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([base, two_words, longer, too_far])]
+    assert stay(rows, 3, 9) == [0, 1, 2, 3] and stay(rows, 5, 8) == [0, 3]
+    left = pipeline.near_duplicates(spark, documents(rows), SF_DIR).collect()
+    assert sorted(r["doc_id"] for r in left) == [0, 3]
+
+
+def test_stage_against_brute_force(spark, documents):
+    rng = random.Random(21)
+    texts = ["", None, "one two three four", "one two three five"]
+    for _ in range(40):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(rng.choice([1, 3, 4, 5, 8, 9, 10, 12, 15, 25, 40, 80, 150, 400]))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 6)):
+            copy = list(words)
+            for _ in range(rng.randint(0, max(1, len(words) // 40))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 1)] = [f"n{rng.randint(0, 99)}"] * rng.randint(0, 1)
+                copy = copy or ["z"]
+            texts.append(" ".join(copy + [f"e{i}" for i in range(rng.choice([0, 0, len(words) // 5, len(words) // 4]))]))
+    rows = list(enumerate(texts))
+    want = stay(rows, 5, 8)
+    assert len(want) < len(stay(rows, 3, 9)) < len(rows)
+    left = pipeline.near_duplicates(spark, documents(rows).repartition(5), SF_DIR).collect()
+    assert sorted(r["doc_id"] for r in left) == want
+
+
+def test_similar_sets_share_a_signature_at_the_stages_rule():
+    rng = np.random.default_rng(3)
+    for size in [4, 5, 6, 9, 14, 30, 77, 200, 601]:
+        pool = np.unique(rng.integers(0, 1 << 63, 3 * size + 50).astype(np.uint64))
+        x = pool[:size]
+        for gone in range(size // 5 + 1):
+            for more in (0, size // 20, size // 9, size // 5, size // 4):
+                y = np.concatenate([x[gone:], pool[size : size + more]])
+                if (gone, more) == (0, 0) or 10 * (size - gone) < 8 * (size + more):
+                    continue
+                row = np.concatenate([np.zeros(len(x), np.int64), np.ones(len(y), np.int64)])
+                of, sig = jaccard.signatures(row, np.concatenate([x, y]), np.array([len(x), len(y)]), 8)
+                assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()), (size, gone, more)
