@@ -14,10 +14,11 @@ neighbourhood one for each shingle, and small segments meet by chance.
 
 A document is indexed in its own band and the next, so any two that can be
 similar meet.  Equal sets are one node.  Nodes of a bucket are first verified
-against its smallest; where a bucket still holds several components, its pairs
-across them are compared by bit sketches, which never lose a similar pair, and
-the rest verified exactly.  So no pair within a component is ever listed and no
-link between components is missed.
+against its smallest; where a bucket still holds several components, its nodes
+outside the largest are compared with all of other components by bit sketches,
+which never lose a similar pair, and the rest verified exactly.  Large buckets
+are dealt over tasks as pairs of blocks.  So no pair within a component is ever
+listed and no link between components is missed.
 
 Null and empty texts have an empty set and are linked with nothing.  Texts of
 fewer words than a shingle are one shingle.  Repeated rows are one node.
@@ -46,8 +47,10 @@ SHINGLE = 3
 #: What one node met by chance costs, in signatures: verification moves a whole set.
 CHANCE_COST = 1000.0
 SKETCH_WORDS = 16
-#: Rows compared with all others of a bucket at once.
+#: Rows compared with others of a group at once.
 BLOCK = 256
+#: Larger buckets are dealt as pairs of blocks of so many nodes.
+DEAL = 2048
 
 _PRINT = "id {id}, size long, a long, b long, sigs binary"
 
@@ -269,36 +272,90 @@ def _verified(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.Rec
         yield batch.select(["u", "v"]).take(pa.array(good, pa.int64()))
 
 
+def _dealt(mixed: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Rows (sig, node, part) of mixed buckets with their sketches, dealt so that any two of different parts meet once.
+
+    The rest, all but the bucket's largest part, is cut into ``block`` rows or
+    so by digest, and so is the largest.  Group (sig, i, j) holds a block of
+    the rest on side 0 and another, or one of the largest part (j < 0), on
+    side 1; (sig, i, i) one block alone.  Two nodes of the largest part never
+    meet.  A bucket of no more than ``block`` rows is one group.
+    """
+    of_part = mixed.groupBy("sig", "part").agg(F.count("*").alias("n"))
+    of_sig = of_part.groupBy("sig").agg(F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("top"))
+    small = F.col("n") <= block
+    mass = F.when(small, 0).otherwise(F.col("top.n"))
+    sizes = of_sig.select(
+        "sig",
+        F.when(~small, F.col("top.part")).alias("top"),
+        F.ceil((F.col("n") - mass) / block).cast("int").alias("rests"),
+        F.ceil(mass / block).cast("int").alias("masses"),
+    )
+    in_top = F.coalesce(F.col("part") == F.col("top"), F.lit(False))
+    # Digests are uniform; their low bits choose the block.
+    own = F.pmod("node", F.when(in_top, F.col("masses")).otherwise(F.col("rests"))).cast("int")
+    group = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(side).cast("int").alias("side"))
+    each = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    of_top = each("rests", lambda k: group(k, -1 - F.col("own"), 1))
+    among = each("rests", lambda k: F.when(k < F.col("own"), group(k, F.col("own"), 1)).otherwise(group(F.col("own"), k, 0)))
+    with_top = F.when(F.col("masses") > 0, each("masses", lambda k: group(F.col("own"), -1 - k, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    groups = F.when(F.col("in_top"), of_top).otherwise(F.concat(among, with_top))
+    placed = mixed.join(sizes, "sig").select("*", in_top.alias("in_top"), own.alias("own")).join(sets.select("node", "size", "sketch"), "node")
+    met = placed.withColumn("g", F.explode(groups)).select("sig", "g.i", "g.j", "g.side", "node", "part", "size", "sketch")
+    return met.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side", "part")
+
+
+def _met(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], tenths: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of different parts, one of each side, whose sketches allow similarity; both sides sorted by part.
+
+    ``left is right`` gives each pair of one side once.  Rows of the one part
+    of a block are left out before sketches are compared.
+    """
+    for i in range(0, len(left[0]), BLOCK):
+        node, part, size, sketch = (c[i : i + BLOCK] for c in left)
+        if left is right:
+            other = slice(int(np.searchsorted(right[1], part[0], "right")), None)
+        elif part[0] == part[-1]:
+            other = np.flatnonzero(right[1] != part[0])
+        else:
+            other = slice(None)
+        nodes, parts, sizes, sketches = (c[other] for c in right)
+        for j in range(0, len(nodes), 16 * BLOCK):
+            some = slice(j, j + 16 * BLOCK)
+            apart = np.zeros((len(node), len(nodes[some])), np.int64)
+            for word in range(SKETCH_WORDS):
+                apart += np.bitwise_count(sketch[:, None, word] ^ sketches[None, some, word])
+            near = apart * (10 + tenths) <= (size[:, None] + sizes[None, some]) * (10 - tenths)
+            near &= (part[:, None] < parts[None, some]) if left is right else (part[:, None] != parts[None, some])
+            x, y = np.nonzero(near)
+            x, y = node[x], nodes[some][y]
+            yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(x, y)), "v": pa.array(np.minimum(x, y))})
+
+
 def _across(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components in one bucket whose sketches allow similarity; rows sorted by sig."""
+    """Pairs of different components in one group whose sketches allow similarity; rows as ``_dealt`` sorts them."""
     held: list[tuple[np.ndarray, ...]] = []
     current = None
 
     def pairs() -> Iterator[pa.RecordBatch]:
-        node, part, size = (np.concatenate([h[k] for h in held]) for k in range(3))
-        sketch = np.concatenate([h[3] for h in held])
-        for i in range(0, len(node), BLOCK):
-            mine = slice(i, min(i + BLOCK, len(node)))
-            apart = np.zeros((mine.stop - i, len(node) - i), np.int64)
-            for word in range(SKETCH_WORDS):
-                apart += np.bitwise_count(sketch[mine, None, word] ^ sketch[None, i:, word])
-            total = size[mine, None] + size[None, i:]
-            near = (apart * (10 + tenths) <= total * (10 - tenths)) & (part[mine, None] < part[None, i:])
-            near |= (apart * (10 + tenths) <= total * (10 - tenths)) & (part[mine, None] > part[None, i:])
-            x, y = np.nonzero(near)
-            x, y = node[i + x], node[i + y]
-            yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(x, y)), "v": pa.array(np.minimum(x, y))})
+        side, *columns = (np.concatenate([h[k] for h in held]) for k in range(5))
+        cut = int(np.searchsorted(side, 1))
+        left, right = tuple(c[:cut] for c in columns), tuple(c[cut:] for c in columns)
+        yield from _met(left, left if current[1] == current[2] else right, tenths)
 
     for batch in batches:
-        sig = np.asarray(batch.column("sig"))
-        columns = tuple(np.asarray(batch.column(c)) for c in ("node", "part", "size"))
-        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(sig), SKETCH_WORDS)
-        begin = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else []
-        for s, e in zip(begin, [*begin[1:], len(sig)], strict=True):
-            if held and sig[s] != current:
+        if not batch.num_rows:
+            continue
+        key = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("sig", "i", "j")], axis=1)
+        columns = tuple(np.asarray(batch.column(c)) for c in ("side", "node", "part", "size"))
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(key), SKETCH_WORDS)
+        begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(axis=1)))
+        for s, e in zip(begin, [*begin[1:], len(key)], strict=True):
+            mine = tuple(key[s].tolist())
+            if held and mine != current:
                 yield from pairs()
                 held = []
-            current = sig[s]
+            current = mine
             held.append((*(c[s:e] for c in columns), sketch[s:e]))
     if held:
         yield from pairs()
@@ -307,7 +364,8 @@ def _across(batches: Iterator[pa.RecordBatch], tenths: int) -> Iterator[pa.Recor
 class Join:
     """One run of the join over ``docs`` (an id column and ``text``)."""
 
-    def __init__(self, docs: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE, tenths: int = TENTHS, seed: int = 0) -> None:
+    def __init__(self, docs: DataFrame, id_column: str = "doc_id", shingle: int = SHINGLE, tenths: int = TENTHS, seed: int = 0, deal: int = DEAL) -> None:
+        self.deal = deal
         self.how = {"n": shingle, "seed": seed}
         self.tenths = tenths
         self.docs = docs.select(F.col(id_column).alias("id"), F.col("text").cast("string").alias("text"))
@@ -348,8 +406,8 @@ class Join:
         labelled = buckets.select("sig", "node").join(parts, "node", "left")
         labelled = stored(labelled.select("sig", "node", F.coalesce("component", "node").alias("part")), "labelled")
         mixed = labelled.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high")
-        rows = labelled.join(mixed.select("sig"), "sig", "left_semi").join(sets.select("node", "size", "sketch"), "node")
-        dealt = rows.repartition("sig").sortWithinPartitions("sig")
+        mine = stored(labelled.join(mixed.select("sig"), "sig", "left_semi"), "mixed")
+        dealt = _dealt(mine, sets, self.deal)
         return dealt.mapInArrow(partial(_across, tenths=self.tenths), "u long, v long").distinct()
 
     def membership(self) -> DataFrame:
