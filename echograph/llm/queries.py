@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from echograph.llm import chat, cleaning, decontamination, fixity, jaccard, mixing, privacy, scoring, secretscan, tokens
+from echograph.llm import chat, cleaning, decontamination, filteraudit, fixity, jaccard, mixing, privacy, scoring, secretscan, tokens
 from echograph.llm.shipping import on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scored(_table(spark, sf_dir, "documents"))
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -86,6 +90,7 @@ QUERIES: dict[str, Query] = {
         op8_personal_data,
         op9_jaccard_join,
         op10_secret_scan,
+        op12_filter_interactions,
         pipeline,
     )
 }
@@ -96,4 +101,5 @@ ORACLE: dict[str, str] = {
     "op5_fm_decontamination": decontamination.ORACLE,
     "op7_snapshot_collapse": chat.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
+    "op12_filter_interactions": filteraudit.ORACLE,
 }
