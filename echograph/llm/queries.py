@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from echograph.llm import chat, cleaning, decontamination, filteraudit, fixity, jaccard, mixing, privacy, scoring, secretscan, tokens
+from echograph.llm import chat, cleaning, collocations, decontamination, filteraudit, fixity, jaccard, mixing, privacy, scoring, secretscan, tokens
 from echograph.llm.shipping import on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +72,10 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -91,6 +95,7 @@ QUERIES: dict[str, Query] = {
         op9_jaccard_join,
         op10_secret_scan,
         op12_filter_interactions,
+        op13_phrase_collocations,
         pipeline,
     )
 }
@@ -102,4 +107,5 @@ ORACLE: dict[str, str] = {
     "op7_snapshot_collapse": chat.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
     "op12_filter_interactions": filteraudit.ORACLE,
+    "op13_phrase_collocations": collocations.ORACLE,
 }
