@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from echograph.llm import chat, cleaning, collocations, decontamination, filteraudit, fixity, jaccard, mixing, privacy, scoring, secretscan, tokens
+from echograph.llm import chat, cleaning, collocations, decontamination, filteraudit, fixity, jaccard, maintext, mixing, privacy, scoring, secretscan, tokens
 from echograph.llm.shipping import on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scored(_table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audited(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Query] = {
         op8_personal_data,
         op9_jaccard_join,
         op10_secret_scan,
+        op11_main_text,
         op12_filter_interactions,
         op13_phrase_collocations,
         pipeline,
@@ -106,6 +111,7 @@ ORACLE: dict[str, str] = {
     "op5_fm_decontamination": decontamination.ORACLE,
     "op7_snapshot_collapse": chat.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
+    "op11_main_text": maintext.ORACLE,
     "op12_filter_interactions": filteraudit.ORACLE,
     "op13_phrase_collocations": collocations.ORACLE,
 }
