@@ -18,8 +18,8 @@ import numpy as np
 
 from echograph.llm import words as W
 
-#: Encoded pieces that a worker keeps between chunks.
-KEPT_PIECES = 100_000
+#: Encoded pieces that a worker keeps between chunks, of some 40 bytes each.
+KEPT_PIECES = 800_000
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _HIGH, _QUOTE = range(6)
 _CLASS = np.full(256, _SIGN, np.uint8)
@@ -99,29 +99,36 @@ class Encoder:
         self.model = self.tokenizer.model
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id = end_id
-        self.kept: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
-
-    def _pieces(self, body: bytes, letters: str, todo: Iterable[tuple[int, int, int, bool]]) -> list[bytes]:
-        """Ids of each (hash, start, end, one class) piece, 4 bytes each; those met lately are kept."""
-        tokenize, kept, older, out = self.model.tokenize, self.kept, self.older, []
-        for key, start, end, plain in todo:
-            ids = kept.get(key)
-            if ids is None:
-                ids = older.get(key)
-                if ids is None:
-                    if plain or body[start:end].decode().lstrip(" ").isalpha():
-                        ids = array("I", [t.id for t in tokenize(letters[start:end])]).tobytes()
-                    else:
-                        ids = self._whole(body[start:end]).tobytes()
-                kept[key] = ids
-            out.append(ids)
-        if len(kept) >= KEPT_PIECES:
-            self.kept, self.older = {}, kept
-        return out
-
-    def _whole(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
+        self._keep(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint32))
+
+    def _keep(self, keys: np.ndarray, sizes: np.ndarray, pool: np.ndarray) -> None:
+        """The pieces kept: sorted hashes, and where each one's ids lie in the pool."""
+        self.keys, self.sizes, self.pool = keys, sizes, pool
+        self.starts = np.cumsum(sizes) - sizes
+
+    def _add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """New pieces, with sorted hashes."""
+        at = np.searchsorted(self.keys, keys)
+        self.starts = np.insert(self.starts, at, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, at, sizes)
+        self.keys = np.insert(self.keys, at, keys)
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _encoded(self, body: bytes, letters: str, pieces: Iterable[tuple[int, int, bool]]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each (start, end, one class) piece, and all ids."""
+        tokenize, ids, sizes = self.model.tokenize, array("I"), []
+        before = 0
+        for start, end, plain in pieces:
+            if plain or body[start:end].decode().lstrip(" ").isalpha():
+                ids.extend([t.id for t in tokenize(letters[start:end])])
+            else:
+                ids.extend(self._whole(body[start:end]))
+            sizes.append(len(ids) - before)
+            before = len(ids)
+        return np.array(sizes, np.int64), np.array(ids, np.uint32)
+
+    def _whole(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the chunk's texts, each followed by the end id, and how many each text has."""
@@ -130,19 +137,23 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         hashes = W.span_hashes(data, starts, ends)
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        odd = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((kinds == _HIGH) | (kinds == _QUOTE) | ((kinds == _SPACE) & (data != 0x20)), out=odd[1:])
-        a, b = starts[first], ends[first]
-        plain = ((odd[b] == odd[a]) & ~((data[b - 1] == 0x20) & (b - a > 1))).tolist() if len(a) else []
+        place = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        new = np.flatnonzero(self.keys[place] != distinct) if len(self.keys) else np.arange(len(distinct))
         body = data.tobytes()
-        letters = _LETTERS[data].tobytes().decode("utf-32-le")
-        parts = self._pieces(body, letters, zip(distinct.tolist(), a.tolist(), b.tolist(), plain, strict=True))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        pool = np.frombuffer(b"".join(parts), np.uint32)
-        pool_at = np.cumsum(sizes) - sizes
-        many = sizes[which] if len(which) else np.empty(0, np.int64)
+        if len(new):
+            odd = np.zeros(len(data) + 1, np.int64)
+            np.cumsum((kinds == _HIGH) | (kinds == _QUOTE) | ((kinds == _SPACE) & (data != 0x20)), out=odd[1:])
+            a, b = starts[first[new]], ends[first[new]]
+            plain = (odd[b] == odd[a]) & ~((data[b - 1] == 0x20) & (b - a > 1))
+            letters = _LETTERS[data].tobytes().decode("utf-32-le")
+            self._add(distinct[new], *self._encoded(body, letters, zip(a.tolist(), b.tolist(), plain.tolist(), strict=True)))
+            place = np.searchsorted(self.keys, distinct)
+        sizes, pool_at = self.sizes[place], self.starts[place]
+        many = sizes[which]
         before = np.concatenate([[0], np.cumsum(many)])
-        ids = pool[np.arange(before[-1]) + np.repeat(pool_at[which] - before[:-1], many)] if len(which) else pool
+        ids = self.pool[np.arange(before[-1]) + np.repeat(pool_at[which] - before[:-1], many)]
+        if len(self.keys) > KEPT_PIECES:  # start again with those of this chunk
+            self._keep(distinct, sizes, self.pool[np.arange(sizes.sum()) + np.repeat(pool_at - np.cumsum(sizes) + sizes, sizes)])
         row_from = before[np.searchsorted(starts, offsets)]  # ids before each row
         return self._closed(ids, row_from, body, offsets, rows)
 
@@ -153,7 +164,7 @@ class Encoder:
             while at >= 0:
                 row = int(np.searchsorted(offsets, at, "right")) - 1
                 if row not in whole and at + len(token) <= offsets[row + 1]:
-                    whole[row] = self._whole(body[offsets[row] : offsets[row + 1]])
+                    whole[row] = np.array(self._whole(body[offsets[row] : offsets[row + 1]]), np.uint32)
                 at = body.find(token, at + 1)
         counts = np.diff(row_from)
         if whole:
