@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echograph.llm import words as W
+from echograph.llm.rows import unused
 
 # Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
@@ -192,9 +193,9 @@ def judged(docs: DataFrame, id_column: str = "doc_id", text: str = "text", keep_
     return found.withColumnRenamed("id", id_column)
 
 
-def _clean(batches: Iterator[pa.RecordBatch], keep_percent: int) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], text: str, keep_percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, offsets in W.chunks(batch, "__text"):
+        for i, j, data, offsets in W.chunks(batch, text):
             verdict, lines = judge(data, offsets, keep_percent)
             kept = np.flatnonzero(verdict["kept"])
             first = np.searchsorted(lines["row"], np.arange(j - i + 1))
@@ -207,20 +208,20 @@ def _clean(batches: Iterator[pa.RecordBatch], keep_percent: int) -> Iterator[pa.
                     continue
                 spans = zip(lines["start"][a:b], lines["end"][a:b], lines["passes"][a:b], strict=True)
                 texts.append("\n".join(body[s:e].decode() for s, e, ok in spans if ok))
-            rest = batch.drop_columns(["__text"]).slice(i, j - i).take(pa.array(kept))
-            yield rest.append_column("__text", pa.array(texts, pa.string()))
+            rest = batch.drop_columns([text]).slice(i, j - i).take(pa.array(kept))
+            yield rest.append_column(text, pa.array(texts, pa.string()))
 
 
 def cleaned(docs: DataFrame, keep_percent: int = KEEP_PERCENT) -> DataFrame:
     """The documents kept, with failing lines removed and ``n_chars`` brought up to date; columns as in ``docs``.
 
     A text all of whose lines pass stays as it is.  Other columns are passed on.
-    ``docs`` must not have a column ``__text``.
     """
+    text = unused(docs, "__text")
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    narrow = docs.select(*others, F.col("text").cast("string").alias("__text"))
-    found = narrow.mapInArrow(partial(_clean, keep_percent=keep_percent), narrow.schema)
-    found = found.withColumn("text", F.col("__text"))
+    narrow = docs.select(*others, F.col("text").cast("string").alias(text))
+    found = narrow.mapInArrow(partial(_clean, text=text, keep_percent=keep_percent), narrow.schema)
+    found = found.withColumn("text", F.col(text))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(*docs.columns)

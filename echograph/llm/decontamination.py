@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from echograph.llm import words as W
 from echograph.llm.fmindex import FMIndex
+from echograph.llm.rows import unused
 from echograph.sources.tables import stored
 
 WINDOW = 10
@@ -246,9 +247,9 @@ def cut(text: bytes, shard: Shard, row: int, offset: int) -> bytes:
     return b"\n".join(out)
 
 
-def _cut_all(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[pa.RecordBatch]:
+def _cut_all(batches: Iterator[pa.RecordBatch], text_column: str, blocks: list) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i, j, data, offsets in W.chunks(batch, "__text", SHARD_BYTES):
+        for i, j, data, offsets in W.chunks(batch, text_column, SHARD_BYTES):
             texts: dict[int, bytes] = {}
             todo = np.arange(j - i)
             while len(todo):  # what a cut joins is searched again
@@ -266,10 +267,10 @@ def _cut_all(batches: Iterator[pa.RecordBatch], blocks: list) -> Iterator[pa.Rec
                 offsets = np.cumsum([0, *(len(texts[k]) for k in todo)])
             part = batch.slice(i, j - i)
             if texts:
-                column = part.column("__text").to_pylist()
+                column = part.column(text_column).to_pylist()
                 for k, text in texts.items():
                     column[k] = text.decode()
-                part = part.set_column(part.schema.get_field_index("__text"), "__text", pa.array(column, pa.string()))
+                part = part.set_column(part.schema.get_field_index(text_column), text_column, pa.array(column, pa.string()))
                 empty = [k for k, text in texts.items() if not W.ALNUM[np.frombuffer(text, np.uint8)].any()]
                 part = part.take(pa.array(np.setdiff1d(np.arange(j - i), empty)))
             yield part
@@ -279,14 +280,14 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """The documents without benchmark passages; columns as in ``docs``.
 
     A hit span is cut from its first word to its last.  A document of nothing
-    else goes; ``n_chars`` of the others is brought up to date.  ``docs`` must
-    not have a column ``__text``.
+    else goes; ``n_chars`` of the others is brought up to date.
     """
+    text = unused(docs, "__text")
     context = docs.sparkSession.sparkContext
     blocks = [context.broadcast(b) for b in blocks_of(benchmark, window, block_words)]
     others = [c for c in docs.columns if c != "text"]
-    narrow = docs.select(*others, F.col("text").cast("string").alias("__text"))
-    out = narrow.mapInArrow(partial(_cut_all, blocks=blocks), narrow.schema).withColumn("text", F.col("__text"))
+    narrow = docs.select(*others, F.col("text").cast("string").alias(text))
+    out = narrow.mapInArrow(partial(_cut_all, text_column=text, blocks=blocks), narrow.schema).withColumn("text", F.col(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*docs.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from echograph.llm import words as W
 from echograph.llm.components import components
-from echograph.llm.rows import with_row
+from echograph.llm.rows import unused, with_row
 from echograph.sources.tables import stored
 
 #: Jaccard similarity of at least TENTHS / 10.
@@ -418,22 +418,33 @@ class Join:
         return rows.select("id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _numbered(docs: DataFrame, id_column: str) -> tuple[DataFrame, str, DataFrame]:
+    """``docs`` with a row number, its name, and (key, text): keys ascend by id, null last, and no two rows share one.
+
+    Texts are fetched by key, so ids that are null or repeated cost no more than others.
+    """
+    row = unused(docs, "__row")
+    numbered = with_row(docs, row)
+    key = F.struct(F.col(id_column).isNull().alias("unknown"), F.col(id_column).alias("id"), F.col(row).alias("row"))
+    return numbered, row, numbered.select(key.alias("key"), "text")
+
+
 def joined(docs: DataFrame, id_column: str = "doc_id", **how) -> DataFrame:
     """(id, n_shingles, component_id) of each document."""
-    return Join(docs, id_column, **how).membership().withColumnRenamed("id", id_column)
+    _, _, keyed = _numbered(docs, id_column)
+    members = Join(keyed, "key", **how).membership()
+    return members.select(F.col("id.id").alias(id_column), "n_shingles", F.col("component_id.id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", **how) -> DataFrame:
     """One document of each component, the one with the smallest id; columns as in ``docs``.
 
     Rows of one id stay apart; of equal rows one stays.  Documents without words
-    all stay.  ``docs`` must not have columns ``__row`` and ``__id``.
+    all stay.
     """
-    numbered = with_row(docs, "__row")
-    named = numbered.withColumn("__id", F.struct(F.col(id_column).alias("id"), F.col("__row").alias("row")))
-    members = Join(named, "__id", **how).membership()
-    kept = members.filter("id = component_id").select(F.col("id.row").alias("__row"))
-    return numbered.join(kept, "__row", "left_semi").select(*docs.columns)
+    numbered, row, keyed = _numbered(docs, id_column)
+    kept = Join(keyed, "key", **how).membership().filter("id = component_id").select(F.col("id.row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 #: The query's columns in SQL.

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from echograph.llm.rows import with_row
+from echograph.llm.rows import unused, with_row
 from echograph.llm.words import WORD
 from echograph.sources.tables import stored
 
@@ -81,7 +81,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: float, exact_words: int
     taken = np.floor(counts * (budget / total)).astype(np.int64)
     rest = max(0, round(budget - int((taken * lengths).sum())))
     left = counts - taken
-    exact = max(exact_words, 2 * int(lengths[-1]))
+    exact = max(exact_words, int(lengths[-1]))
     for i in range(len(lengths) - 1, -1, -1):
         if rest <= exact:
             break
@@ -100,7 +100,7 @@ def _nearest_sum(lengths: np.ndarray, left: np.ndarray, rest: int) -> np.ndarray
         return taken
     most = 2 * rest  # the empty sum is as near as that
     mask = (1 << (most + 1)) - 1
-    first = np.full(most + 1, -1, np.int64)
+    first = np.full(most + 1, -1, np.int32)
     reached = 1
     for i in range(len(lengths) - 1, -1, -1):
         length = int(lengths[i])
@@ -148,12 +148,12 @@ def mix_sizes(
 ) -> DataFrame:
     """Adds ``source_size``, ``target``, ``copies`` and ``taken`` to rows of (row, doc, source, size).
 
-    ``sized`` is read several times: pass a stored table.  ``doc`` seeds the
-    order in which documents of a size are taken, ``row`` breaks its ties;
+    ``sized`` is read several times: pass a stored table.  ``doc`` and
+    ``row`` seed the order in which documents of a size are taken, so rows of one id are dealt like others;
     ``weigh`` gives the weights of that many sources in order.
     """
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    h = F.xxhash64(F.lit(seed), "doc")
+    h = F.xxhash64(F.lit(seed), "doc", "row")
     keyed = sized.withColumns({"key": key, "h": h, "bucket": F.shiftrightunsigned(h, 64 - BUCKET_BITS)})
 
     found = keyed.groupBy("key").agg(F.sum("size").alias("size")).collect()  # one row for each source
@@ -194,9 +194,10 @@ def sized_documents(docs: DataFrame, row: str = "doc_id", doc: str = "doc_id", t
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, each as often as it is taken; columns as in ``docs``.
 
-    Equal rows stay apart.  ``docs`` must not have columns ``__row`` and ``__copy``.
+    Equal rows stay apart.
     """
-    numbered = with_row(docs, "__row")
-    chosen = mix_sizes(sized_documents(numbered, row="__row"), **how).filter("copies > 0")
-    copies = chosen.select(F.col("row").alias("__row"), F.sequence(F.lit(1).cast("long"), "copies").alias("__copy"))
-    return numbered.join(copies, "__row").withColumn("__copy", F.explode("__copy")).select(*docs.columns)
+    row, copy = unused(docs, "__row"), unused(docs, "__copy")
+    numbered = with_row(docs, row)
+    chosen = mix_sizes(sized_documents(numbered, row=row), **how).filter("copies > 0")
+    copies = chosen.select(F.col("row").alias(row), F.sequence(F.lit(1).cast("long"), "copies").alias(copy))
+    return numbered.join(copies, row).withColumn(copy, F.explode(copy)).select(*docs.columns)

@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -109,14 +111,17 @@ _EDGE = "\"'.,;:!?|#*$%&<>=[]{}"
 
 
 def added_spans(text: str, labelled: list[Span], base: list[Span]) -> list[Span]:
-    """The CRF's spans, without signs around them, that pass their check and touch no base span."""
+    """The CRF's spans, without signs around them, that pass their check and touch no base span; ``base`` is sorted."""
     out = []
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, e, _ in base), max))  # the furthest end of the first spans
     for start, end, kind in labelled:
         while start < end and text[start] in _EDGE:
             start += 1
         while end > start and text[end - 1] in _EDGE:
             end -= 1
-        clear = all(end <= s or start >= e for s, e, _ in base)
+        before = bisect_left(starts, end)
+        clear = not before or reach[before - 1] <= start
         if start < end and clear and _plausible(text[start:end], kind):
             out.append((start, end, kind))
     return out

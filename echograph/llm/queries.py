@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from echograph.llm import chat, cleaning, collocations, decontamination, filteraudit, fixity, jaccard, maintext, mixing, privacy, scoring, secretscan, tokens
+from echograph.llm.rows import with_row
 from echograph.llm.shipping import on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +21,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its size, its source's size and target, and the words the mix takes."""
-    sized = mixing.sized_documents(_table(spark, sf_dir, "documents"))
-    return mixing.mix_sizes(sized).select(F.col("row").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+    sized = mixing.sized_documents(with_row(_table(spark, sf_dir, "documents"), "place"), row="place")
+    return mixing.mix_sizes(sized).select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
 def op2_line_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:

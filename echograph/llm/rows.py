@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from echograph.sources.tables import stored
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, longer by as many signs as it takes to be no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def with_row(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a first column ``name`` that differs for each row and is the same at every reading.
 

@@ -160,3 +160,25 @@ def test_components_against_plain_search(spark, seed):
                 part[u] = part[v] = min(part[u], part[v])
     assert got == part
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_null_and_repeated_ids_fetch_one_text_each(documents):
+    """A third of all rows without an id, a third with one id: keys differ, so a node's text is fetched once."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [([None, 7, 1000 + i][i % 3], " ".join([*words, f"own{i // 2}"])) for i in range(120)]
+    docs = documents(rows).repartition(4)
+    _, _, keyed = jaccard._numbered(docs, "doc_id")
+    join = jaccard.Join(keyed, "key")
+    asked = join.nodes.select("node", "id")
+    fetched = keyed.join(asked.select(asked["id"].alias("key"), "node"), "key")
+    assert fetched.count() == asked.count() == 60
+    found = jaccard.joined(docs).collect()
+    assert len(found) == 120 and {r["component_id"] for r in found} == {7}
+    unknown = jaccard.joined(documents([(None, "a b c d"), (None, "a b c d"), (None, None), (3, "x y z"), (None, "x y z")])).collect()
+    assert sorted(map(tuple, unknown), key=str) == sorted([(None, 2, None), (None, 2, None), (None, 0, None), (3, 1, 3), (None, 1, 3)], key=str)
+
+
+def test_columns_named_like_its_own_do_no_harm(documents):
+    docs = documents([(1, "a b c"), (2, "a b c"), (3, "d e f")]).selectExpr("*", "5 AS __row", "6 AS __row_", "7 AS key")
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["__row"]) for r in kept.collect()) == [(1, 5), (3, 5)]

@@ -103,3 +103,19 @@ def test_the_mix_repeats_whole_rows(odd):
     assert mixed.columns == odd.columns
     taken = sum(r["taken"] for r in result(odd).collect())
     assert sum(len(plain_words(r["text"])) for r in mixed.collect()) == pytest.approx(taken, abs=3)
+
+
+def test_rows_of_one_id_are_dealt_like_others(spark):
+    """A third of all rows with one id: their places, not their id, spread them over the buckets."""
+    rows = [(i, None if i % 3 else 7, "s", 5) for i in range(3000)]
+    sized = spark.createDataFrame(rows, "row long, doc long, source string, size long")
+    hashes = sized.selectExpr(f"shiftrightunsigned(xxhash64(17, doc, row), {64 - mixing.BUCKET_BITS}) AS bucket")
+    assert max(r["count"] for r in hashes.groupBy("bucket").count().collect()) < 20
+    found = mixing.mix_sizes(sized).collect()
+    assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 5 and {r["copies"] for r in found} == {1, 2}
+
+
+def test_the_knapsack_is_bounded_by_what_is_left_not_by_twice_the_longest_text():
+    lengths, counts = np.array([3, 5_000_000]), np.array([10, 3])
+    taken = mixing.fit(lengths, counts, 7_000_000.0)
+    assert abs(int((taken * lengths).sum()) - 7_000_000) <= 2_000_000

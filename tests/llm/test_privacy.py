@@ -128,3 +128,11 @@ def test_without_rows_nothing_is_labelled():
     assert isinstance(chain, Chain)
     data = np.frombuffer(b"call 843-555-7672", np.uint8)
     assert not chain.decode(data, np.array([0, 5]), np.array([4, 17]), np.array([0, 0])).any()
+
+
+def test_many_spans_are_looked_up_not_compared():
+    """120,000 spans against 40,000 base spans, every third of which is touched; comparing all pairs would take hours."""
+    base = [(24 * k + 2, 24 * k + 5, k % 4) for k in range(40_000)]
+    labelled = [(8 * k, 8 * k + 7, 1) for k in range(120_000)]
+    assert privacy.added_spans("1.2.3.4 " * 120_000, labelled, base) == [s for k, s in enumerate(labelled) if k % 3]
+    assert privacy.added_spans("5.6.7.8", [(0, 7, 1)], [(0, 1, 3), (0, 2, 0)]) == []
