@@ -2,8 +2,10 @@
 
 A line is what lies between newlines; only lines with a word are judged.  A
 line fails if it is navigation, if its punctuation is not that of prose, if it
-is boilerplate, or if it repeats an earlier line of the document.  Failing
-lines are removed.  A document is rejected if its whole text fails the base
+is boilerplate, or if it repeats an earlier line of the document.  A line that
+does not end like a sentence, as those of verse and of text wrapped at a width, is
+navigation or filling only with another sign of it: few words, separators or
+symbols, capitals at most words, or words said twice over.  Failing lines are removed.  A document is rejected if its whole text fails the base
 rules (too few words, too much repetition) or if less than ``keep_percent`` of
 its words are left.
 
@@ -35,11 +37,14 @@ MAX_REPEAT_PERCENT = 20
 SEPARATOR_PERCENT, SEPARATORS = 20, 2
 SYMBOL_PERCENT, SYMBOL_COUNT = 30, 2
 MARK_PERCENT, MARKS = 50, 3
+#: A line without an end of a sentence fails with fewer words, or with this percentage of symbols, of words with a capital
+#: or of words that are the one before again.
+FEW_WORDS, UNENDED_SYMBOL_PERCENT, CAPITAL_PERCENT, AGAIN_PERCENT = 5, 10, 60, 25
 #: A document needs this part of its words in lines that pass.
 KEEP_PERCENT = 50
 
-#: Characters that may end a line of prose.
-ENDS = ".!?:;\"')]}…”’»。！？"
+#: Characters that may end a line of prose: marks of Latin, Chinese and Japanese, Indic, Arabic, Ethiopic, Armenian, Burmese and Khmer script.
+ENDS = ".!?:;\"')]}…”’»。！？」』）》．｡।॥؟۔؛።፧፨։။។"
 
 #: A line with one of these, in any case of A-Z, is boilerplate.
 BOILERPLATE = [
@@ -69,6 +74,7 @@ def _chars(text: str) -> np.ndarray:
 
 
 _SYMBOL, _MARK, _SEPARATOR = _chars(SYMBOLS), _chars("!?"), _chars("|")
+_CAPITAL = _chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def _sums(flags: np.ndarray) -> np.ndarray:
@@ -136,6 +142,13 @@ def judge(data: np.ndarray, offsets: np.ndarray, keep_percent: int = KEEP_PERCEN
     line_words = (words_before[1] - words_before[0])[full]
     last = ends[words_before[1][full] - 1] - 1 if len(line_starts) else np.empty(0, np.int64)
     line_row = W.owner(line_starts, offsets)
+    capitals = _sums(_CAPITAL[data[starts]])
+    line_capitals = (capitals[words_before[1]] - capitals[words_before[0]])[full]
+    same = np.zeros(len(hashes), bool)
+    same[1:] = hashes[1:] == hashes[:-1]
+    same[words_before[0][full]] = False
+    same = _sums(same)
+    line_again = (same[words_before[1]] - same[words_before[0]])[full]
 
     def percent(sums: np.ndarray, most: int, least: int) -> np.ndarray:
         n = sums[line_ends] - sums[line_starts]
@@ -149,13 +162,19 @@ def judge(data: np.ndarray, offsets: np.ndarray, keep_percent: int = KEEP_PERCEN
         folded = W.FOLD[data].tobytes()
         for phrase in BOILERPLATE:
             _holds(folded, phrase.encode(), line_starts, held)
+    unended = ~_line_ends_well(data, last) & (
+        (line_words < FEW_WORDS)
+        | percent(symbols, UNENDED_SYMBOL_PERCENT, 1)
+        | (100 * line_capitals >= CAPITAL_PERCENT * line_words)
+        | (100 * line_again >= AGAIN_PERCENT * line_words)
+    )
     passes = ~(
         again
         | held
         | percent(separators, SEPARATOR_PERCENT, SEPARATORS)
         | percent(symbols, SYMBOL_PERCENT, SYMBOL_COUNT)
         | percent(marks, MARK_PERCENT, MARKS)
-        | ~_line_ends_well(data, last)
+        | unended
     )
     n_repeat = _repeat_words(hashes, word_row, rows)
     words_kept = np.bincount(line_row[passes], line_words[passes], rows).astype(np.int64)
@@ -238,7 +257,7 @@ win AS (SELECT r, p, count(*) OVER (PARTITION BY r, ws[p:p + {WINDOW} - 1]) AS c
 rep AS (SELECT r, count(DISTINCT p + k) AS n FROM win, (SELECT unnest(range(0, {WINDOW})) AS k) WHERE c > 1 GROUP BY r),
 cut AS (SELECT r, string_split(text, chr(10)) AS ls FROM t),
 ln AS (SELECT r, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM cut),
-lw AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k FROM ln),
+lw AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lws, len(lws) AS nw, row_number() OVER (PARTITION BY r, line ORDER BY i) AS k FROM ln),
 lj AS (
   SELECT r, nw, k > 1 AS again, NOT (
     k > 1
@@ -246,7 +265,11 @@ lj AS (
     OR (len(regexp_extract_all(line, '[#*$%&|<>]')) >= {SYMBOL_COUNT} AND 100 * len(regexp_extract_all(line, '[#*$%&|<>]')) > {SYMBOL_PERCENT} * nw)
     OR (len(regexp_extract_all(line, '[!?]')) >= {MARKS} AND 100 * len(regexp_extract_all(line, '[!?]')) > {MARK_PERCENT} * nw)
     OR regexp_matches(line, '(?i)({"|".join(BOILERPLATE)})')
-    OR NOT regexp_matches(line, '[{_SQL_ENDS}][\x20\x09-\x0D]*$')
+    OR (NOT regexp_matches(line, '[{_SQL_ENDS}][\x20\x09-\x0D]*$') AND (
+      nw < {FEW_WORDS}
+      OR 100 * len(regexp_extract_all(line, '[#*$%&|<>]')) > {UNENDED_SYMBOL_PERCENT} * nw
+      OR 100 * len(regexp_extract_all(line, '(?:^|[\x20\x09-\x0D])[A-Z]')) >= {CAPITAL_PERCENT} * nw
+      OR 100 * len([x for x in range(2, nw + 1) if lws[x] = lws[x - 1]]) >= {AGAIN_PERCENT} * nw))
   ) AS passes FROM lw WHERE nw > 0),
 lr AS (
   SELECT r, count(*) AS n_lines, count(*) FILTER (again) AS n_dup_lines, count(*) FILTER (passes) AS n_lines_kept,

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
 import random
+import textwrap
+
+import numpy as np
+import pytest
 
 from echograph.llm import cleaning
 
@@ -62,3 +66,31 @@ def test_documents_that_lose_too_much_go(documents):
 def test_clean_texts_stay_as_they_are(documents):
     text = "  A line with spaces before it, and more words than ten in all.  \n\n Another line.\t\n"
     assert cleaning.cleaned(documents([(5, text)])).collect()[0]["text"] == text
+
+
+PROSE = (
+    "The committee met on Tuesday to discuss the plan for the new library, which had been delayed twice. Nobody expected the vote "
+    "to be close, yet it was. After three hours of talk the members agreed on a smaller building with a garden behind it."
+)
+CLEAN = {
+    "wrapped": "\n".join(textwrap.wrap(PROSE, 42)),
+    "verse": "So runs the river past the mill\nand past the willows on the hill\nit carries leaves and carries light\nand sings a little through the night",
+    "hindi": "यह एक लंबा वाक्य है जो हिंदी में लिखा गया है।\nदूसरी पंक्ति भी कुछ शब्दों के साथ समाप्त होती है।",
+    "urdu": "یہ ایک لمبا جملہ ہے جو اردو میں لکھا گیا ہے۔\nدوسری سطر بھی چند الفاظ کے ساتھ ختم ہوتی ہے۔",
+    "arabic": "هذه جملة طويلة مكتوبة باللغة العربية لهذا الاختبار فقط.\nهل تنتهي الجملة الثانية بعلامة استفهام أم لا؟",
+    "ethiopic": "ይህ በአማርኛ የተጻፈ ረጅም ዓረፍተ ነገር ነው።\nሁለተኛው መስመርም በጥቂት ቃላት ያበቃል እና ይቀጥላል።",
+}
+JUNK = {
+    "menu": "Home\nAbout us\nContact\nOur Products And Services\nSign In\nPrivacy\nShop Now Today\nLatest News From Here\nMore",
+    "bars": "one | two | three | four | five | six | seven | eight | nine | ten | eleven",
+    "signs": "lorem$$$ ipsum&&& dolor### sit%%% amet*** elit&&& sed$$$ do%%% eius### tempor***",
+    "stutter": "Of Of only only this this and and thing thing onst onst long long the the",
+}
+
+
+@pytest.mark.parametrize("name", [*CLEAN, *JUNK])
+def test_wrapped_verse_and_other_scripts_are_prose(name):
+    body = {**CLEAN, **JUNK}[name].encode()
+    verdict, _ = cleaning.judge(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
+    assert bool(verdict["kept"][0]) is (name in CLEAN)
+    assert verdict["n_words_kept"][0] == (verdict["n_words"][0] if name in CLEAN else 0)
