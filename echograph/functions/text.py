@@ -50,6 +50,16 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("([A-Za-z]+)"), 1), F.lower)
 
 
+#: Beyond ASCII, the only characters whose small form holds a letter of a-z.
+_SMALL_ASCII = "\u0130\u212a"
+
+
+def letter_runs(text: Column) -> Column:
+    """``words`` by generated code: lower-cased runs of ASCII letters, with ``''`` before or after where the text has other signs there."""
+    odd = F.contains(text, F.lit(_SMALL_ASCII[0])) | F.contains(text, F.lit(_SMALL_ASCII[1]))
+    return F.split(F.lower(F.when(odd, F.translate(text, _SMALL_ASCII, "  ")).otherwise(text)), "[^a-z]+")
+
+
 def post_time(created_at: Column) -> Column:
     """Timestamp of a text date such as ``Tue Feb 15 01:02:03 +0000 2022``.
 

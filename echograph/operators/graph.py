@@ -50,6 +50,11 @@ def interaction_rows(posts: DataFrame) -> DataFrame:
     return exploded.filter(F.col("connected_user_single").isNotNull())
 
 
+def connected_posts(posts: DataFrame) -> DataFrame:
+    """Posts that refer to anyone, one row each; what ``interaction_rows`` explodes."""
+    return posts.filter(F.coalesce(*_references()).isNotNull())
+
+
 def original_posts(posts: DataFrame) -> DataFrame:
     """Posts that refer to no one; with ``interaction_rows`` this covers all."""
     return _without_handles(posts).filter(F.coalesce(*_references()).isNull())

@@ -6,24 +6,30 @@ sums ``v + 1`` over positive words, ``neg`` sums ``|v| + 1`` over negative ones,
 ``neu`` counts the rest, each as a share of the three.  This is the core of the
 VADER method (Hutto & Gilbert 2014).  ``Rules`` adds its boosters, negations,
 capitals and exclamation marks.
+
+Valences are taken to nine decimals and added as whole numbers, so a sum does not
+depend on the order of its terms: both forms give the same scores, bit for bit.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echograph.functions.text import words
+from echograph.functions.text import letter_runs, words
 from echograph.operators.skew import balanced_join, heavy_keys, row_counts
 from echograph.sources.tables import stored
 
 #: Entries that a lexicon written into the query may have.
 LEXICON_IN_QUERY = 50_000
 
+#: Valences are whole numbers of this part of one.
+UNIT = 10**9
+
 SCORES = [
     "sentiment_neg",
     "sentiment_neu",
@@ -69,24 +75,37 @@ def _slot(token: Column, slots: int) -> Column:
     return F.pmod(F.hash(token), F.lit(slots))
 
 
-def _lexicon_column(lex: DataFrame, size: int) -> tuple[Column, int]:
+def _units(valence: Column) -> Column:
+    return F.round(valence * F.lit(UNIT)).cast("long")
+
+
+@dataclass(frozen=True)
+class _Lexicon:
     """The lexicon as a constant array of small maps, found by a token's hash.
 
     A map is searched entry by entry, so one large map would cost its whole
     length per word; here a word costs one array access and about one compare.
     """
-    slots = max(1, size)
-    table: list[dict[str, float]] = [{} for _ in range(slots)]
-    for row in lex.select("token", F.col("valence").cast("double"), _slot(F.col("token"), slots)).collect():
-        table[row[2]][row[0]] = row[1]
-    return F.from_json(F.lit(json.dumps(table)), "array<map<string,double>>"), slots
 
+    table: list[dict[str, float]]
+
+    @classmethod
+    def of(cls, lex: DataFrame, size: int) -> _Lexicon:
+        slots = max(1, size)
+        table: list[dict[str, float]] = [{} for _ in range(slots)]
+        for row in lex.select("token", "valence", _slot(F.col("token"), slots)).collect():
+            table[row[2]][row[0]] = row[1]
+        return cls(table)
 
-def _valences(text: Column, lexicon: Column, slots: int) -> Column:
-    def valence(token: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(lexicon, _slot(token, slots)), token), F.lit(0.0))
+    def valence(self, token: Column) -> Column:
+        column = F.from_json(F.lit(json.dumps(self.table)), "array<map<string,double>>")
+        return F.coalesce(F.try_element_at(F.get(column, _slot(token, len(self.table))), token), F.lit(0.0))
 
-    return F.transform(words(text), valence)
+    def units(self, token: Column) -> Column:
+        """Valence of a token in units; null if it is not in the lexicon."""
+        table = [{t: round(v * UNIT) for t, v in part.items()} for part in self.table]
+        column = F.from_json(F.lit(json.dumps(table)), "array<map<string,bigint>>")
+        return F.try_element_at(F.get(column, _slot(token, len(self.table))), token)
 
 
 SUMS = ["total", "pos", "neg", "neu"]
@@ -103,14 +122,53 @@ def _parts(v: Column) -> dict[str, Column]:
     }
 
 
-def _sums(valences: Column) -> Column:
-    """All sums of an array of valences in one pass, as a struct."""
-    start = F.struct(*[F.lit(0.0).alias(name) for name in SUMS])
-    add = lambda sums, v: F.struct(*[(sums[name] + part).alias(name) for name, part in _parts(v).items()])
-    return F.aggregate(valences, start, add)
+#: Exact sums: units of positive and of negative valences, words of either kind, all words.
+COUNTS = ["pos_units", "neg_units", "n_pos", "n_neg", "n_words"]
+
+
+def _count_parts(v: Column, n: Column) -> dict[str, Column]:
+    """What ``n`` words of ``v`` units add to each count."""
+    zero = F.lit(0).cast("long")
+    return {
+        "pos_units": F.when(v > 0, n * v).otherwise(zero),
+        "neg_units": F.when(v < 0, n * -v).otherwise(zero),
+        "n_pos": F.when(v > 0, n).otherwise(zero),
+        "n_neg": F.when(v < 0, n).otherwise(zero),
+        "n_words": n,
+    }
+
+
+def _of_counts(count: Callable[[str], Column]) -> dict[str, Column]:
+    """The sums of exact counts."""
+    unit = F.lit(float(UNIT))
+    return {
+        "total": (count("pos_units") - count("neg_units")) / unit,
+        "pos": count("pos_units") / unit + count("n_pos"),
+        "neg": count("neg_units") / unit + count("n_neg"),
+        "neu": (count("n_words") - count("n_pos") - count("n_neg")).cast("double"),
+    }
+
 
+def _counts(apart: Column, lexicon: _Lexicon) -> Column:
+    """All counts of a text's ``letter_runs`` as a struct.
 
-def _ruled_sums(text: Column, lexicon: Column, slots: int, rules: Rules) -> Column:
+    Words are looked up first; only those of the lexicon are added.
+    """
+    one = F.lit(1).cast("long")
+    names = COUNTS[:-1]
+    start = F.struct(*[F.lit(0).cast("long").alias(name) for name in names])
+
+    def add(counts: Column, v: Column) -> Column:
+        parts = _count_parts(v, one)
+        return F.struct(*[(counts[name] + parts[name]).alias(name) for name in names])
+
+    known = F.filter(apart, lambda word: lexicon.units(word).isNotNull())
+    sums = F.aggregate(F.transform(known, lexicon.units), start, add)
+    edges = (F.element_at(apart, 1) == "").cast("int") + ((F.size(apart) > 1) & (F.element_at(apart, -1) == "")).cast("int")
+    return F.struct(sums.alias("sums"), (F.size(apart) - edges).cast("long").alias("n_words"))
+
+
+def _ruled_sums(text: Column, lexicon: _Lexicon, rules: Rules) -> Column:
     """The sums with ``rules``, in one pass that remembers the three words before."""
     boosts = F.create_map(*[F.lit(x) for pair in rules.boosters.items() for x in pair])
     negations = F.array(*map(F.lit, rules.negations))
@@ -121,7 +179,7 @@ def _ruled_sums(text: Column, lexicon: Column, slots: int, rules: Rules) -> Colu
 
     def add(state: Column, word: Column) -> Column:
         token = F.lower(word)
-        v = F.coalesce(F.try_element_at(F.get(lexicon, _slot(token, slots)), token), F.lit(0.0))
+        v = lexicon.valence(token)
         loud = F.when(mixed & (F.length(word) > 1) & (word == F.upper(word)), F.lit(CAPITALS)).otherwise(F.lit(0.0))
         more = sum((state[b] * F.lit(part) for b, part in zip(before, FADING, strict=True)), loud)
         turned = F.when(state["g1"] | state["g2"] | state["g3"], F.lit(NEGATED)).otherwise(F.lit(1.0))
@@ -146,22 +204,48 @@ def _ruled_sums(text: Column, lexicon: Column, slots: int, rules: Rules) -> Colu
 
 
 def _scores(alpha: float) -> list[Column]:
-    """Score columns of ``total, pos, neg, neu``; null sums give null scores."""
-    total, weight = F.col("total"), F.col("pos") + F.col("neg") + F.col("neu")
+    """Score columns of the sums, as ``scored_total`` and so on; null sums give null scores."""
+    total, pos, neg, neu = (F.col(f"scored_{name}") for name in SUMS)
+    weight = pos + neg + neu
 
-    def share(name: str) -> Column:
-        return F.when(weight > 0, F.col(name) / weight).when(weight == 0, F.lit(0.0))
+    def share(part: Column) -> Column:
+        return F.when(weight > 0, part / weight).when(weight == 0, F.lit(0.0))
 
     compound = total / F.sqrt(total * total + F.lit(float(alpha)))
     return [
-        share("neg").alias("sentiment_neg"),
-        share("neu").alias("sentiment_neu"),
-        share("pos").alias("sentiment_pos"),
+        share(neg).alias("sentiment_neg"),
+        share(neu).alias("sentiment_neu"),
+        share(pos).alias("sentiment_pos"),
         compound.alias("sentiment_compound"),
         F.when(compound >= 0, 1).otherwise(0).alias("sentiment_compound_pos_ind"),
     ]
 
 
+def with_scores(
+    df: DataFrame, text: str, lex: DataFrame, alpha: float = 15.0, rules: Rules | None = None
+) -> DataFrame:
+    """``df`` without ``text`` and with the five score columns; rows are scored where they are.
+
+    For posts that several rows are made of: score first, then explode.
+    """
+    lex = checked_lexicon(lex)
+    size = lex.limit(LEXICON_IN_QUERY + 1).count()
+    if size > LEXICON_IN_QUERY:
+        raise ValueError(f"more than {LEXICON_IN_QUERY} lexicon entries: use form='join'")
+    lexicon = _Lexicon.of(lex, size)
+    others = [c for c in df.columns if c != text]
+    if rules is None:
+        # A column of its own, since it is used more than once.
+        parted = df.select(*others, letter_runs(F.col(text)).alias("scored_words"))
+        counted = parted.select(*others, _counts(F.col("scored_words"), lexicon).alias("scored_counts"), F.col("scored_words").isNotNull().alias("scored_known"))
+        counts = lambda name: F.col("scored_counts")[name] if name == "n_words" else F.col("scored_counts")["sums"][name]
+        sums = {name: F.when(F.col("scored_known"), value) for name, value in _of_counts(counts).items()}
+    else:
+        counted = df.select(*others, _ruled_sums(F.col(text), lexicon, rules).alias("scored_counts"))
+        sums = {name: F.col("scored_counts")[name] for name in SUMS}
+    return counted.select(*others, *[value.alias(f"scored_{name}") for name, value in sums.items()]).select(*others, *_scores(alpha))
+
+
 def sentiment_scores(
     df: DataFrame,
     id: str | list[str],
@@ -185,18 +269,9 @@ def sentiment_scores(
         raise ValueError(f"unknown form {form!r}")
     if rules is not None and form != "query":
         raise ValueError("rules need form='query'")
-    lex = checked_lexicon(lex)
     if form == "join":
-        sums = _joined_sums(df, ids, text, lex)
-    else:
-        size = lex.limit(LEXICON_IN_QUERY + 1).count()
-        if size > LEXICON_IN_QUERY:
-            raise ValueError(f"more than {LEXICON_IN_QUERY} lexicon entries: use form='join'")
-        lexicon, slots = _lexicon_column(lex, size)
-        found = _sums(_valences(F.col(text), lexicon, slots)) if rules is None else _ruled_sums(F.col(text), lexicon, slots, rules)
-        valued = df.select(*ids, found.alias("sums"))
-        sums = valued.select(*ids, "sums.*")
-    return sums.select(*ids, *_scores(alpha))
+        return _joined_sums(df, ids, text, checked_lexicon(lex)).select(*ids, *_scores(alpha))
+    return with_scores(df.select(*ids, F.col(text).alias("scored_text")), "scored_text", lex, alpha, rules)
 
 
 def _joined_sums(df: DataFrame, ids: list[str], text: str, lex: DataFrame) -> DataFrame:
@@ -213,12 +288,13 @@ def _joined_sums(df: DataFrame, ids: list[str], text: str, lex: DataFrame) -> Da
         .agg(F.count("token").alias("n")),
         "words",
     )
-    valences = lex.select("token", F.col("valence").cast("double").alias("v"))
+    valences = lex.select("token", _units(F.col("valence")).alias("v"))
     heavy = heavy_keys(stored(row_counts(counted, "token"), "token-counts"), "token")
     joined = balanced_join(counted, valences, "token", "row_key", heavy, "left")
-    n, parts = F.col("n"), _parts(F.coalesce(F.col("v"), F.lit(0.0)))
-    sums = joined.groupBy(*row, "absent").agg(*[F.sum(n * part).alias(name) for name, part in parts.items()])
-    return sums.select(*ids, *[F.when(~F.col("absent"), F.col(c)).alias(c) for c in SUMS])
+    parts = _count_parts(F.coalesce(F.col("v"), F.lit(0).cast("long")), F.col("n"))
+    counts = joined.groupBy(*row, "absent").agg(*[F.sum(part).alias(name) for name, part in parts.items()])
+    sums = _of_counts(F.col)
+    return counts.select(*ids, *[F.when(~F.col("absent"), value).alias(f"scored_{name}") for name, value in sums.items()])
 
 
 def sentiment_by(scored: DataFrame, key: str) -> DataFrame:

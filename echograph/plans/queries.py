@@ -467,9 +467,10 @@ def q_sentiment_by_author(spark, sf):
 
 
 def q_sentiment_by_target(spark, sf):
-    connected = graph.interaction_rows(derived.flat_posts(spark, sf))
-    key = "connected_user_single"
-    return _by(sentiment.sentiment_scores(connected, key, "text", lexicon(spark)), key)
+    # A post is scored once, however many it refers to.
+    connected = graph.connected_posts(derived.flat_posts(spark, sf))
+    scored = graph.interaction_rows(sentiment.with_scores(connected, "text", lexicon(spark)))
+    return _by(scored, "connected_user_single")
 
 
 QUERIES: dict[str, Query] = {
