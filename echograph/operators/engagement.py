@@ -46,12 +46,12 @@ def counter_maxima(posts: DataFrame) -> DataFrame:
 
 
 def candidate_post_interactions(interactions: DataFrame, cand: DataFrame) -> DataFrame:
-    return of_candidates(interactions, cand, "id_str").select("user_id_str", "id_str", "interact_cnt")
+    return of_candidates(interactions, cand).select("user_id_str", "id_str", "interact_cnt")
 
 
 def daily_post_interactions(posts: DataFrame, cand: DataFrame) -> DataFrame:
     """Per day, user and post: interactions of the candidates' posts."""
-    rows = of_candidates(_counted(posts), cand, "id_str")
+    rows = of_candidates(_counted(posts), cand)
     return _interactions(rows, ["user_id_str", "id_str", "day"])
 
 
@@ -105,7 +105,7 @@ def of_users(posts: DataFrame, cand: DataFrame | None) -> DataFrame:
     if cand is None:
         return posts
     named = posts.withColumn("user_id_str", F.col("user.id_str"))
-    return of_candidates(named, cand, "created_at").drop("user_id_str")
+    return of_candidates(named, cand).drop("user_id_str")
 
 
 def engagement_rate_one(posts: DataFrame, user_id: str) -> DataFrame:

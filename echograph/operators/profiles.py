@@ -108,8 +108,7 @@ def candidate_count(found: DataFrame) -> DataFrame:
 
 def candidate_profiles(rows: DataFrame, cand: DataFrame) -> DataFrame:
     """Rows of candidate users; see ``of_candidates`` for large lists and hot users."""
-    by = "tweet_created_at" if "tweet_created_at" in rows.columns else "user_id_str"
-    return of_candidates(rows, cand, by)
+    return of_candidates(rows, cand)
 
 
 def missing_candidates(cand: DataFrame, found: DataFrame) -> DataFrame:

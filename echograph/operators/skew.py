@@ -83,15 +83,15 @@ def balanced_join(
     return left.join(right, split_keys(key, heavy), how).drop("part")
 
 
-def of_candidates(rows: DataFrame, cand: DataFrame, by: str, key: str = "user_id_str") -> DataFrame:
+def of_candidates(rows: DataFrame, cand: DataFrame, key: str = "user_id_str") -> DataFrame:
     """Rows whose ``key`` is in the candidate list.
 
     A small list is broadcast.  A large one is shuffled in as many copies as
-    there are parts, so that a user of a third of all rows is dealt over parts
-    by a hash of ``by``; what groups the rows afterwards shuffles them anew,
-    with its own map-side step.
+    there are parts, and rows are dealt over the parts one after the other, so a user of
+    a third of all rows is dealt evenly even if all those rows are equal; what groups the
+    rows afterwards shuffles them anew, with its own map-side step.
     """
-    part = F.pmod(F.xxhash64(by), F.lit(CANDIDATE_PARTS)).cast("int")
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(CANDIDATE_PARTS)).cast("int")
     copies = F.explode(F.sequence(F.lit(0), F.lit(CANDIDATE_PARTS - 1)))
     wanted = cand.select(F.col(key), copies.alias("candidate_part"))
     return rows.withColumn("candidate_part", part).join(wanted, [key, "candidate_part"], "left_semi").drop("candidate_part")

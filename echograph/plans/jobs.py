@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from echograph.operators import engagement, graph, intake, profiles, ranking, sentiment
 from echograph.schema import HANDLE, INTERACTION_ROW, ORIGINAL_ROW, PAIR, RANKED
-from echograph.sources.posts import bad_lines, read_days, split_days
+from echograph.sources.posts import bad_lines, lost_files, read_days, split_days
 from echograph.sources.tables import job_folder, read_csv, read_json, stored, write_csv, write_json
 
 
@@ -39,14 +39,17 @@ def intake_job(
     The archive is scanned once for the ``posts`` table, from which everything
     else comes, and once for the report: rows after each stage, broken lines and
     days without files, per day.  A file that cannot be read fails the job,
-    unless ``skip_corrupt`` leaves the rest of it out.  Returns the days that
-    had no files.
+    unless ``skip_corrupt`` leaves the rest of it out: the report then counts such
+    files, and ``lost`` lists them.  Returns the days that had no files.
     """
     found, skipped = split_days(spark, template, days)
     read = read_days(spark, template, found, skip_corrupt=skip_corrupt)
     posts = _by_day(intake.intake(read, terms, dedup, unicode_case), f"{out}/posts")
     broken = bad_lines(spark, template, found, skip_corrupt=skip_corrupt)
-    write_csv(intake.intake_report(intake.intake_counts(read, terms, unicode_case), broken, skipped), f"{out}/report")
+    lost = lost_files(spark, template, found) if skip_corrupt else None
+    if lost is not None:
+        write_csv(lost, f"{out}/lost", header=True)
+    write_csv(intake.intake_report(intake.intake_counts(read, terms, unicode_case), broken, skipped, lost), f"{out}/report")
     write_csv(intake.handle_dictionary(posts), f"{out}/handles", header=True)
     original, connected = graph.intermediate_rows(posts)
     write_json(original, f"{out}/original")
@@ -81,13 +84,14 @@ def hits_job(
     rounds: int = 10,
     norm: str = "l2",
     k: int = 200,
+    unicode_case: bool = False,
 ) -> None:
     """Top authorities and hubs, of interaction rows on ``terms`` or of all pairs."""
     with job_folder(spark):
         if terms is None:
             edges = graph.edge_weights(read_csv(spark, f"{data}/pairs", PAIR), "count")
         else:
-            edges = graph.topic_edges(read_json(spark, f"{data}/connected", INTERACTION_ROW), terms)
+            edges = graph.topic_edges(read_json(spark, f"{data}/connected", INTERACTION_ROW), terms, unicode_case)
         auth, hub = ranking.hits(stored(edges, "edges"), rounds, norm)
         handles = read_handles(spark, data)
         write_csv(ranking.top_nodes(auth, handles, k), f"{out}/authorities")
@@ -133,14 +137,20 @@ def profile_job(
 
 
 def sentiment_job(
-    spark: SparkSession, data: str, lex: DataFrame, out: str, alpha: float = 15.0, form: str = "query"
+    spark: SparkSession,
+    data: str,
+    lex: DataFrame,
+    out: str,
+    alpha: float = 15.0,
+    form: str = "query",
+    rules: sentiment.Rules | None = None,
 ) -> None:
-    """Sentiment per author of original posts and per user referred to."""
+    """Sentiment per author of original posts and per user referred to; ``rules`` as in ``sentiment_scores``."""
     with job_folder(spark):
         for name, schema, key in (
             ("original", ORIGINAL_ROW, "user_id_str"),
             ("connected", INTERACTION_ROW, "connected_user_single"),
         ):
             rows = read_json(spark, f"{data}/{name}", schema)
-            scored = sentiment.sentiment_scores(rows, ["id_str", key], "text", lex, alpha, form)
+            scored = sentiment.sentiment_scores(rows, ["id_str", key], "text", lex, alpha, form, rules)
             write_csv(sentiment.sentiment_by(scored, key), f"{out}/{name}", header=True)

@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from conftest import embedded, post, reply_to, table
 
+from echograph.operators import sentiment
 from echograph.plans import jobs
 from echograph.schema import HANDLE, INTERACTION_ROW, ORIGINAL_ROW, PAIR, USER_COUNT
 from echograph.sources.tables import read_csv, read_json, shared_dir
@@ -126,3 +127,33 @@ def test_jobs_leave_no_tables_behind(spark, data, path):
     lex = spark.createDataFrame([("good", 2.0)], "token string, valence double")
     jobs.sentiment_job(spark, data, lex, path("scores"), form="join")
     assert set(base.iterdir()) == before
+
+
+def test_the_report_counts_files_that_lost_their_rest(spark, archive, tmp_path):
+    root = Path(archive.replace("/{}/*.json.gz", ""))
+    for day in ("20220214", "20220216"):
+        (tmp_path / day).mkdir()
+        (tmp_path / day / "p.json.gz").write_bytes((root / day / "p.json.gz").read_bytes())
+    whole = (tmp_path / "20220216" / "p.json.gz").read_bytes()
+    (tmp_path / "20220216" / "cut.json.gz").write_bytes(whole[: len(whole) // 2])
+    out = str(tmp_path / "out")
+    with pytest.raises(Exception, match="FAILED_READ_FILE|EOF|Exception"):
+        jobs.intake_job(spark, str(tmp_path) + "/{}/*.json.gz", DAYS, ["game"], out)
+    jobs.intake_job(spark, str(tmp_path) + "/{}/*.json.gz", DAYS, ["game"], out, skip_corrupt=True)
+    report = {(r[0], r[1]): int(r[2]) for r in spark.read.csv(f"{out}/report").collect()}
+    assert report["2022-02-16", "lost_files"] == 1 and ("2022-02-14", "lost_files") not in report
+    (lost,) = spark.read.csv(f"{out}/lost", header=True).collect()
+    assert lost["path"].endswith("20220216/cut.json.gz") and int(lost["bytes"]) == len(whole) // 2
+
+
+def test_sentiment_job_with_rules_and_hits_job_with_accents(spark, data, path):
+    lex = spark.createDataFrame([("bad", -2.0)], "token string, valence double")
+    jobs.sentiment_job(spark, data, lex, path("plain"))
+    jobs.sentiment_job(spark, data, lex, path("rules"), rules=sentiment.Rules(boosters={"is": 0.5}))
+    scores = [
+        {r[0]: float(r["avg_sentiment_compound"]) for r in spark.read.csv(path(name) + "/original", header=True).collect()}
+        for name in ("plain", "rules")
+    ]
+    assert scores[0]["b"] == scores[1]["b"] == 0 and scores[1]["star"] < scores[0]["star"] < 0
+    jobs.hits_job(spark, data, path("hits"), ["GAME"], rounds=1, unicode_case=True)
+    assert spark.read.csv(path("hits") + "/authorities").first()[0] == "star"

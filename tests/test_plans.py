@@ -113,6 +113,19 @@ def test_a_hot_candidate_is_dealt_over_tasks(spark, no_broadcast, name):
         assert "WindowGroupLimit" in plan(P.daily_profile_panel(posts, cand))
 
 
+def test_equal_rows_of_one_candidate_are_dealt_too(spark, no_broadcast):
+    """A third of all rows equal in every column."""
+    ids = spark.range(30_000).selectExpr("CAST(IF(id % 3 = 0, 0, id) AS STRING) AS author").repartition(8)
+    posts = ids.selectExpr("named_struct('id_str', author) AS user", "'Tue Feb 15 01:02:03 +0000 2022' AS created_at")
+    cand = ids.select(ids["author"].alias("user_id_str")).distinct()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = E.of_users(posts, cand).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 30_000 and max(sizes) < 8_000
+
+
 def test_weights_read_the_pairs_twice(spark):
     kept = stored(pairs(spark, ("a", "b", 1), ("b", "a", 2)), "pairs")
     G.edge_weights(kept)  # the aggregate per author is stored on the way

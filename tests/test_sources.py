@@ -200,3 +200,20 @@ def test_schema_can_be_narrowed(spark, tmp_path):
     narrow = T.StructType([T.StructField("id_str", T.StringType())])
     found = P.read_posts(spark, str(tmp_path) + "/20220214/*.json.gz", narrow)
     assert found.columns == ["id_str"] and table(found) == [("1",)]
+
+
+def test_files_that_lose_their_rest_are_found(spark, tmp_path):
+    for day in ("20220214", "20220215", "20220216"):
+        _day(tmp_path, day, [json.dumps(post(str(i), "a", f"text {i * 7919}")) for i in range(3000)])
+    cut = tmp_path / "20220215" / "part.json.gz"
+    (tmp_path / "20220215" / "a {b} [c].json.gz").write_bytes(cut.read_bytes())
+    (tmp_path / "20220216" / "bad.json.gz").write_bytes(b"\x1f\x8b\x08\x00garbage")
+    cut.write_bytes(cut.read_bytes()[: cut.stat().st_size // 3])
+    template = str(tmp_path) + "/{}/*.json.gz"
+    lost = P.lost_files(spark, template, ["20220214", "20220215", "20220216", "20220217"]).collect()
+    assert sorted((str(r["day"]), r["path"].rsplit("/", 1)[1], r["bytes"]) for r in lost) == [
+        ("2022-02-15", "part.json.gz", cut.stat().st_size), ("2022-02-16", "bad.json.gz", 11),
+    ]
+    lines = {r["path"].rsplit("/", 1)[1]: r["lines"] for r in lost}
+    assert 0 < lines["part.json.gz"] < 3000 and lines["bad.json.gz"] == 0
+    assert P.lost_files(spark, template, ["20220214"]).collect() == [] and P.lost_files(spark, template, ["20220301"]).collect() == []
