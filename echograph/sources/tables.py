@@ -77,10 +77,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage, keeps the partitioning."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+@contextmanager
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> Iterator[DataFrame]:
+    """``df`` written once, in ``buckets`` parts by a hash of ``keys`` and sorted by them within each.
+
+    Joins on ``keys`` find it partitioned and sorted, whatever round they are of, and a
+    lost executor costs no more than reading its part again.  The table is in the
+    session's catalog, under a name of its own, until the end.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    # Each part is one file, so its order may be relied on.
+    order = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    known = spark.conf.get(order, None)
+    spark.conf.set(order, "true")
+    try:
+        yield spark.table(name)
+    finally:
+        if known is None:
+            spark.conf.unset(order)
+        else:
+            spark.conf.set(order, known)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        removed(spark, path)
 
 
 class Rounds:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 import pytest
 from conftest import SF_DIR, pairs, weights
 
@@ -63,21 +65,30 @@ def test_sentiment_needs_no_shuffle(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan(df)
 
 
-def test_rounds_shuffle_partial_sums_only(spark, no_broadcast):
-    """Two half-rounds on kept edges: no shuffle or sort of the edges."""
-    edges = stored(weights(spark, *[(f"u{i % 50}", f"v{i % 40}", 1.0) for i in range(200)]).distinct(), "edges")
-    by_from, heavy_from = R._kept_by(edges, "from_user", "to_user")
-    by_to, heavy_to = R._kept_by(edges, "to_user", "from_user")
-    by_from.count(), by_to.count()
-    assert heavy_from is None and heavy_to is None
-    auth = R._summed(by_from.selectExpr("to_user AS node", "weight AS score"))
-    hub = R._summed(R._pass_on(by_to, auth, "to_user", "from_user", heavy_to))
-    auth = R._summed(R._pass_on(by_from, hub, "from_user", "to_user", heavy_from))
-    text = auth._jdf.queryExecution().sparkPlan().toString()
-    executed = auth._jdf.queryExecution().executedPlan().toString()
-    # One exchange per sum; those that filled the caches are marked REPARTITION.
-    assert executed.count("ENSURE_REQUIREMENTS") == 3
-    assert text.count("SortMergeJoin") == 2
+@pytest.mark.parametrize("hot", [False, True])
+def test_rounds_shuffle_partial_sums_only(spark, no_broadcast, hot):
+    """Two half-rounds on kept edges: no shuffle or sort of the edges, and nothing cached."""
+    rows = {(f"u{0 if hot and i % 2 else i}", f"v{i if hot else i % 400}", 1.0) for i in range(4000)}
+    edges = stored(weights(spark, *sorted(rows)), "edges")
+    with ExitStack() as kept:
+        by_from, heavy_from = R._kept_by(edges, "from_user", "to_user", kept)
+        by_to, heavy_to = R._kept_by(edges, "to_user", "from_user", kept)
+        assert (heavy_from is not None) == hot and heavy_to is None
+        auth = R._summed(by_from.selectExpr("to_user AS node", "weight AS score"))
+        hub = R._summed(R._pass_on(by_to, auth, "to_user", "from_user", heavy_to))
+        auth = R._summed(R._pass_on(by_from, hub, "from_user", "to_user", heavy_from))
+        text = auth._jdf.queryExecution().sparkPlan().toString()
+        executed = auth._jdf.queryExecution().executedPlan().toString()
+        # One exchange per sum, and with parts of hot nodes one of the copied scores.
+        assert executed.count("ENSURE_REQUIREMENTS") == 3 + hot and "REPARTITION" not in executed and "InMemoryTableScan" not in executed
+        assert text.count("SortMergeJoin") == 2
+        # Only scores are sorted: every sort stands above an aggregate or a copied score, never above a scan of edges.
+        lines = executed.splitlines()
+        for k, line in enumerate(lines):
+            if " Sort [" in line:
+                below = next(x for x in lines[k + 1 :] if "Project" not in x and "Filter" not in x)
+                assert "FileScan" not in below
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
 
 
 def test_pairs_are_read_from_the_stored_table(spark):
