@@ -105,13 +105,16 @@ class EliasFano:
         return lo, equal
 
 
-def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of 8 bits and (lowest, step): each stands for the nearest value below, so sums never grow."""
-    if not len(values):
-        return np.empty(0, np.uint8), np.array([0.0, 0.0])
-    lowest, top = float(values.min()), float(values.max())
-    step = (top - lowest) / 255 or 1.0
-    return np.minimum((values - lowest) / step, 255).astype(np.uint8), np.array([lowest, step])
+#: Logarithms of discounted counts have codes of 16 bits on one scale: from ``LOWEST`` (a count of a millionth) on, ``STEP`` apart.
+LOWEST, STEP = -6.0, 2.0**-11
+
+
+def quantised(values: np.ndarray) -> np.ndarray:
+    """The code of the nearest value below, so sums never grow.
+
+    The scale is the same for every trie: how a corpus is dealt over shards changes no value.
+    """
+    return np.clip(np.floor((values - LOWEST) / STEP), 0, 65535).astype(np.uint16)
 
 
 def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
@@ -137,7 +140,7 @@ def from_buffer(body: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Trie:
-    """Unigram counts and smoothed bigram probabilities of one shard of contexts."""
+    """Unigram counts and quantised discounted bigram counts of one shard of contexts: their quotient is the smoothed probability."""
 
     def __init__(self, body: np.ndarray) -> None:
         arrays = from_buffer(body)
@@ -147,7 +150,7 @@ class Trie:
         self.contexts = EliasFano.open(arrays, "contexts")
         self.pointers = EliasFano.open(arrays, "pointers")
         self.successors = EliasFano.open(arrays, "successors")
-        self.probability, self.probability_of = arrays["probability"], arrays["probability_of"]
+        self.discounted = arrays["discounted"]
         self.discount = float(arrays["discount"][0])
 
     @staticmethod
@@ -158,14 +161,12 @@ class Trie:
         follow = np.diff(np.append(first, len(context)))
         totals = np.add.reduceat(n, first) if len(first) else np.empty(0, np.int64)
         place = np.repeat(np.arange(len(contexts)), follow)
-        codes, scale = quantised(np.log10((n - discount) / np.repeat(totals, follow)))
         width = width_of(int(totals.max(initial=0)) + 1)
         parts = {
             "words": words,
             "counts": packed(totals, width),
             "count_width": np.array([width]),
-            "probability": codes,
-            "probability_of": scale,
+            "discounted": quantised(np.log10(n - discount)),
             "discount": np.array([discount]),
         }
         size = max(1, len(words))
@@ -208,7 +209,8 @@ class Trie:
         targets = place[ask].astype(np.uint64) * np.uint64(max(1, len(self.words))) + at[ask].astype(np.uint64)
         found, equal = self.successors.find(targets)
         ask, found = ask[equal], found[equal]
-        out[ask] = self.probability_of[0] + self.probability[found] * self.probability_of[1]
+        total = read_packed(self.counts, self.count_width, place[ask])
+        out[ask] = LOWEST + self.discounted[found] * STEP - np.log10(total.astype(np.float64))
         seen = np.zeros(len(place), bool)
         seen[ask] = True
         return out, seen
