@@ -1,13 +1,16 @@
 """Secret scan: candidates by form, false positives removed by a random forest.
 
 A candidate is a run of at least 16 letters, digits and ``+/_=-`` that has a
-digit, or that stands in quotes behind ``=`` or ``:``.  The forest judges it by
-its length, the transitions of its characters, how much of it common words of
+digit, or that stands in quotes behind ``=`` or ``:``; a value of at least six
+characters without white space behind a name like ``password`` and ``=`` or ``:``;
+or the password of a login in a URL.  Of nested candidates the widest counts.  The
+forest judges each by its length, the transitions of its characters, how much of it common words of
 the corpus cover, the path of its document and the neighbouring words.  It is
 trained by Spark from a small table of labelled findings.
 
-The dictionary is counted over all documents: words that make up at least one
-part in ``SHARE`` of all of them, so it never has more than ``SHARE`` entries.
+The dictionary is counted over all documents: words of 3 to ``LONGEST`` letters that
+make up at least one part in ``SHARE`` of all of them, so it never has more than
+``SHARE`` entries.
 
 Null and empty texts have no candidates; a null path has no path words.  Every
 row is judged for itself, so repeated rows give repeated findings.  An empty
@@ -34,14 +37,21 @@ from echograph.llm.sampling import sample_lines
 from echograph.sources.tables import stored
 
 SHARE = 20_000
+LONGEST = 40
 #: Bounds of the labelled table: context lines taken from the corpus, findings per line.
-TRAIN_DOCS, TRAIN_LINES = 200, 600
+TRAIN_DOCS, TRAIN_LINES = 200, 1200
 NEAR = 40  # characters on each side in which neighbouring words count
 THRESHOLD = 0.5
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _DIGIT = re.compile(r"[0-9]")
-_ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']$")
+_ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']\Z")
+#: A name that says that a secret follows, at the end of what stands before ``=`` or ``:``; names are looked for this far back.
+_NAMED = re.compile(r"(?i)(key|token|secret|passw(or)?d|passphrase|pwd|auth|credentials?)[A-Za-z0-9_]{0,16}[\"']?\s{0,3}\Z")
+BACK = 48
+_VALUE = re.compile(r"\s{0,3}(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([^\s\"',;<>()]{6,}))")
+_LOGIN = re.compile(r"[^\s/:@]+:([^\s/@]+)@")
+_LOGIN_BEFORE = re.compile(r"://[^\s/:@]+:\Z")
 _SECRET_WORD = re.compile(r"(?i)(key|token|secret|passw|pwd|auth|bearer|credential|private)")
 _OTHER_WORD = re.compile(r"(?i)(sha|md5|hash|digest|checksum|commit|uuid|guid|etag|build|revision|example|sample|dummy|placeholder|isbn|order)")
 _PATH_TEST = re.compile(r"(?i)(test|example|sample|fixture|mock|doc)")
@@ -60,7 +70,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, _, data, offsets in W.chunks(batch):
             starts, ends = W.runs(_LETTERS[data], offsets)
-            long_enough = ends - starts >= 3
+            long_enough = (ends - starts >= 3) & (ends - starts <= LONGEST)
             starts, ends = starts[long_enough], ends[long_enough]
             _, first, n = np.unique(W.span_hashes(data, starts, ends, fold=True), return_index=True, return_counts=True)
             body = W.FOLD[data].tobytes()
@@ -81,7 +91,7 @@ class Language:
 
     def __init__(self, common: dict[str, int]) -> None:
         self.words = frozenset(common)
-        self.longest = max(map(len, common), default=0)
+        self.begin = frozenset(word[:k] for word in common for k in range(3, len(word) + 1))
         pairs, singles = Counter(), Counter()
         for word, n in common.items():
             for a, b in zip(word, word[1:], strict=False):
@@ -99,7 +109,11 @@ class Language:
         """Part of the text that dictionary words cover, longest first from the left."""
         low, at, inside = text.lower(), 0, 0
         while at < len(low):
-            size = next((k for k in range(min(self.longest, len(low) - at), 2, -1) if low[at : at + k] in self.words), 0)
+            size, k = 0, 3
+            while at + k <= len(low) and low[at : at + k] in self.begin:  # no further than a word goes on
+                if low[at : at + k] in self.words:
+                    size = k
+                k += 1
             inside += size
             at += size or 1
         return inside / max(1, len(low))
@@ -134,27 +148,56 @@ def features(language: Language, text: str, start: int, end: int, path: str | No
         float(_OTHER_WORD.search(before) is not None),
         float(_SECRET_WORD.search(after) is not None),
         float(_SECRET_WORD.search(own) is not None or _OTHER_WORD.search(own) is not None),
+        float(_named(text, start)),
+        float(after.startswith("@") and _LOGIN_BEFORE.search(text, max(0, start - 4 * NEAR), start) is not None),
+        float(own.startswith(("$", "{", "<", "%", "*")) or own.endswith(("}", ")", ">", "%", "*"))),
         float(_PATH_TEST.search(path) is not None),
         float(_PATH_CONFIG.search(path) is not None),
     ]
 
 
+def _named(text: str, start: int) -> bool:
+    """Whether a value at ``start`` stands behind a secret's name and ``=`` or ``:``."""
+    at = start - 1
+    while at >= max(0, start - 5) and (text[at].isspace() or text[at] in "\"'"):
+        at -= 1
+    return at >= 0 and text[at] in "=:" and _NAMED.search(text, max(0, at - BACK), at) is not None
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of candidates, in code points."""
-    out = []
+    """Spans of candidates, in code points, in order; none within another."""
+    found = []
     for m in CANDIDATE.finditer(text):
         if _DIGIT.search(m[0]) or _ASSIGNED.search(text, max(0, m.start() - 6), m.start()):
-            out.append((m.start(), m.end()))
+            found.append(m.span())
+    for m in _GIVES.finditer(text):
+        if _NAMED.search(text, max(0, m.start() - BACK), m.start()):
+            value = _VALUE.match(text, m.end())
+            if value:
+                found.append(value.span(value.lastindex))
+    at = text.find("://")
+    while at >= 0:
+        login = _LOGIN.match(text, at + 3)
+        if login:
+            found.append(login.span(1))
+        at = text.find("://", at + 3)
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(set(found), key=lambda s: (s[0], -s[1])):
+        if not out or end > out[-1][1]:
+            out.append((start, end))
     return out
 
 
+_GIVES = re.compile("[=:]")
 _CLASS = W._table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_=-"], inside=True)
+_GIVING = W._table([*b"=:"], inside=True)
 
 
-def _rows_with_long_runs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Only these can hold a candidate."""
+def _rows_to_search(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Only these can hold a candidate: a long run, or ``=`` or ``:``."""
     starts, ends = W.runs(_CLASS[data], offsets)
-    return np.unique(W.owner(starts[ends - starts >= 16], offsets))
+    long = W.owner(starts[ends - starts >= 16], offsets)
+    return np.unique(np.concatenate([long, W.owner(np.flatnonzero(_GIVING[data]), offsets)]))
 
 
 def _scan(batches: Iterator[pa.RecordBatch], language) -> Iterator[pa.RecordBatch]:
@@ -163,7 +206,7 @@ def _scan(batches: Iterator[pa.RecordBatch], language) -> Iterator[pa.RecordBatc
         paths = batch.column("path")
         for i, _, data, offsets in W.chunks(batch):
             rows, found = [], []
-            for row in _rows_with_long_runs(data, offsets).tolist():
+            for row in _rows_to_search(data, offsets).tolist():
                 text = data[offsets[row] : offsets[row + 1]].tobytes().decode()
                 for start, end in candidates(text):
                     rows.append(i + row)
@@ -198,8 +241,22 @@ def written_finding(rng: np.random.Generator) -> tuple[str, str, str, int]:
             "ghp_" + text(36),
             "sk_live_" + text(24),
         )
+        kind = rng.random()
+        if kind < 0.25:  # passwords as people choose them
+            signs_too = signs + "!@#$%&*?.-_+"
+            word = "".join(pick(*signs[26:52]) for _ in range(int(rng.integers(3, 8))))
+            value = pick(text(int(rng.integers(8, 16)), signs_too).replace("@", "!"), word.capitalize() + text(int(rng.integers(2, 5)), signs[52:]) + pick("!", "&", "#", "$", ""))
+            return name + give, value, close, 1
+        if kind < 0.35:
+            return pick("postgres", "https", "mysql", "amqp", "ftp") + "://" + text(int(rng.integers(3, 9)), signs[26:52]) + ":", text(int(rng.integers(6, 20)), signs + "!$%-_."), "@" + pick("db.host", "10.0.0.3:5432", "example.org") + "/x", 1
+        if kind < 0.42:
+            return name + give, text(int(rng.integers(16, 40)), signs[:52]), close, 1
         return (name + give if rng.random() < 0.9 else pick("Bearer ", "curl -u ", "")), value, close, 1
-    which = rng.integers(8)
+    which = rng.integers(11)
+    if which >= 8:  # what stands behind such a name and is none
+        word = "".join(pick(*signs[26:52]) for _ in range(int(rng.integers(6, 11))))
+        value = pick("required", "optional", "string", "enabled", "undefined", "password", "changeme", "your_password", "example", "********", "xxxxxxxx", "${DB_PASSWORD}", "{{secret}}", "process.env.TOKEN", "get_token()", "os.environ", "None,None", "http://host/auth", word, word.capitalize())
+        return name + give, value, close, 0
     if which == 0:
         return pick("sha256 ", "commit ", "md5: ", "checksum = ", "etag: "), rng.bytes(int(pick(16, 20, 32))).hex(), "", 0
     if which == 1:
