@@ -56,18 +56,28 @@ class Rules:
     negations: Sequence[str] = tuple(NOT)
 
 
+def _entries(lex: DataFrame) -> DataFrame:
+    """``token, valence, other, unknown`` of each lower-cased token: its least and greatest valence, and entries without one."""
+    entries = lex.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence"))
+    return entries.groupBy("token").agg(F.min("valence").alias("valence"), F.max("valence").alias("other"), F.count_if(F.col("valence").isNull()).alias("unknown"))
+
+
+#: What makes an entry wrong, in SQL.
+_WRONG = "token IS NULL OR unknown > 0 OR valence != other"
+
+
+def _refused(tokens: list[str | None]) -> None:
+    if tokens:
+        raise ValueError(f"lexicon entries without one valence: {tokens[:5]}")
+
+
 def checked_lexicon(lex: DataFrame) -> DataFrame:
     """``(token, valence)`` with lower-cased tokens, each once.
 
     A missing token or valence, or two valences for one token, is an error.
     """
-    entries = lex.select(F.lower("token").alias("token"), F.col("valence").cast("double").alias("valence"))
-    each = entries.groupBy("token").agg(F.min("valence").alias("valence"), F.max("valence").alias("other"), F.count_if(F.col("valence").isNull()).alias("unknown"))
-    each = stored(each, "lexicon")
-    wrong = each.filter(F.col("token").isNull() | (F.col("unknown") > 0) | (F.col("valence") != F.col("other")))
-    found = [r["token"] for r in wrong.orderBy("token").limit(5).collect()]
-    if found:
-        raise ValueError(f"lexicon entries without one valence: {found}")
+    each = stored(_entries(lex), "lexicon")
+    _refused([r["token"] for r in each.filter(_WRONG).orderBy("token").limit(5).collect()])
     return each.select("token", "valence")
 
 
@@ -90,11 +100,15 @@ class _Lexicon:
     table: list[dict[str, float]]
 
     @classmethod
-    def of(cls, lex: DataFrame, size: int) -> _Lexicon:
-        slots = max(1, size)
-        table: list[dict[str, float]] = [{} for _ in range(slots)]
-        for row in lex.select("token", "valence", _slot(F.col("token"), slots)).collect():
-            table[row[2]][row[0]] = row[1]
+    def of(cls, lex: DataFrame) -> _Lexicon:
+        """Checked, in one job that brings no more than ``LEXICON_IN_QUERY`` entries and one."""
+        rows = _entries(lex).select("token", "valence", F.expr(_WRONG).alias("wrong"), F.hash("token").alias("h")).limit(LEXICON_IN_QUERY + 1).collect()
+        _refused([r["token"] for r in rows if r["wrong"]])
+        if len(rows) > LEXICON_IN_QUERY:
+            raise ValueError(f"more than {LEXICON_IN_QUERY} lexicon entries: use form='join'")
+        table: list[dict[str, float]] = [{} for _ in range(max(1, len(rows)))]
+        for r in rows:
+            table[r["h"] % len(table)][r["token"]] = r["valence"]
         return cls(table)
 
     def valence(self, token: Column) -> Column:
@@ -228,11 +242,7 @@ def with_scores(
 
     For posts that several rows are made of: score first, then explode.
     """
-    lex = checked_lexicon(lex)
-    size = lex.limit(LEXICON_IN_QUERY + 1).count()
-    if size > LEXICON_IN_QUERY:
-        raise ValueError(f"more than {LEXICON_IN_QUERY} lexicon entries: use form='join'")
-    lexicon = _Lexicon.of(lex, size)
+    lexicon = _Lexicon.of(lex)
     others = [c for c in df.columns if c != text]
     if rules is None:
         # A column of its own, since it is used more than once.
