@@ -39,7 +39,7 @@ from echograph.sources.tables import stored
 LEAST = 100
 TOP = 2000
 #: Words of a shard, bytes of text of a range (what a worker of half a GB can unite), windows of the sample for each range.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 RANGE_BYTES = 6 << 20
 SAMPLE = 16
 #: Paths united at a time; questions to one range that one task answers.
