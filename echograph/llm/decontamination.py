@@ -10,10 +10,12 @@ one window, an item without words none.  Null texts have no words.  Repeated
 documents are judged each for itself; repeated item ids are one item, a null
 item id counts as the empty string.  An empty benchmark finds nothing.
 
-The benchmark is the stated query set.  It reaches the tasks in blocks of at
-most ``block_words`` words (16 bytes each); a larger one is searched block by
-block over numbered documents, and the spans of all blocks are merged.  Words
-are compared by 64-bit hashes.
+The benchmark is the stated query set.  Spark makes its distinct windows and the
+items that have each, and deals these pairs by hash into blocks of about
+``block_words`` words (8 bytes each).  The driver and a worker hold one block at
+a time.  With more than one, each is searched over numbered documents, and the
+spans of all blocks are merged before anything is cut, so results do not depend
+on the blocks.  Words are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,9 +24,12 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial, reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +39,7 @@ from echograph.llm.rows import unused
 from echograph.sources.tables import stored
 
 WINDOW = 10
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 2_000_000
 #: Bytes of a training shard: whole documents.
 SHARD_BYTES = W.CHUNK_BYTES
 
@@ -43,9 +48,10 @@ _FOUND = "n_words long, spans array<struct<start: long, end: long>>, items array
 
 @dataclass
 class Phrases:
-    """Distinct windows of a block of items: places in ``words``, and the items that have each."""
+    """Distinct windows of a block: places in ``words``, and the items that have each."""
 
-    words: np.ndarray
+    vocabulary: np.ndarray  # hashes of different words
+    words: np.ndarray  # as places in the vocabulary
     starts: np.ndarray
     lengths: np.ndarray
     item_from: np.ndarray  # items of window i: item_of[item_from[i] : item_from[i + 1]]
@@ -58,43 +64,70 @@ def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return W.span_hashes(data, starts, ends, fold=True), starts, ends
 
 
-def phrases_of(items: list[tuple[str, np.ndarray]], window: int = WINDOW) -> Phrases:
-    """Windows of (item id, word hashes) pairs."""
-    names = sorted({name for name, _ in items})
-    number = {name: i for i, name in enumerate(names)}
-    places: dict[bytes, list] = {}
-    at = 0
-    for name, hashes in items:
-        size = min(window, len(hashes))
-        for i in range(len(hashes) - size + 1 if size else 0):
-            place = places.setdefault(hashes[i : i + size].tobytes(), [at + i, size, set()])
-            place[2].add(number[name])
-        at += len(hashes)
-    kept = list(places.values())
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(item, window) of every place of every text, a window as the bytes of its words' hashes."""
+    names: list = []
+    phrases: list[bytes] = []
+
+    def batch_of() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(phrases, pa.binary())], ["item", "phrase"])
+        names.clear()
+        phrases.clear()
+        return made
+
+    for batch in batches:
+        for i, j, data, offsets in W.chunks(batch, "text", SHARD_BYTES):
+            hashes, starts, _ = _hashed(data, offsets)
+            first = np.cumsum([0, *np.bincount(W.owner(starts, offsets), minlength=j - i)])
+            for name, (a, b) in zip(batch.column("item")[i:j].to_pylist(), pairwise(first.tolist()), strict=True):
+                size = min(window, b - a)
+                for at in range(a, b - size + 1 if size else a):
+                    names.append(name)
+                    phrases.append(hashes[at : at + size].tobytes())
+                    if len(names) == 1 << 16:
+                        yield batch_of()
+    yield batch_of()
+
+
+def phrases_of(pairs: pa.Table) -> Phrases:
+    """Windows of distinct (item, window) pairs."""
+    pairs = pairs.sort_by([("phrase", "ascending"), ("item", "ascending")]).combine_chunks()
+    phrase, item = (pa.concat_arrays(pairs.column(c).chunks) if len(pairs) else pa.array([], t) for c, t in (("phrase", pa.binary()), ("item", pa.string())))
+    new = np.ones(len(phrase), bool)
+    new[1:] = pc.not_equal(phrase[1:], phrase[:-1]).to_numpy(zero_copy_only=False)
+    head = np.flatnonzero(new)
+    kept, encoded = phrase.take(pa.array(head)), item.dictionary_encode()
+    lengths = pc.binary_length(kept).to_numpy().astype(np.int64) // 8
+    vocabulary, words = np.unique(np.frombuffer(b"".join(kept.to_pylist()), np.uint64), return_inverse=True)
     return Phrases(
-        np.concatenate([np.empty(0, np.uint64), *(h for _, h in items)]),
-        np.array([p[0] for p in kept], np.int64),
-        np.array([p[1] for p in kept], np.int64),
-        np.cumsum([0, *(len(p[2]) for p in kept)]),
-        np.array([i for p in kept for i in sorted(p[2])], np.int64),
-        names,
+        vocabulary,
+        words.astype(np.int32),
+        np.cumsum(lengths) - lengths,
+        lengths,
+        np.append(head, len(phrase)),
+        encoded.indices.to_numpy().astype(np.int64),
+        encoded.dictionary.to_pylist(),
     )
 
 
-def blocks_of(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Phrases]:
-    """Phrases of the benchmark, a bounded number of words at a time."""
-    items: list[tuple[str, np.ndarray]] = []
-    total = 0
-    for row in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
-        body = np.frombuffer((row[1] or "").encode(), np.uint8)
-        hashes = _hashed(body, np.array([0, len(body)]))[0]
-        if items and total + len(hashes) > block_words:
-            yield phrases_of(items, window)
-            items, total = [], 0
-        items.append((row[0] or "", hashes))
-        total += len(hashes)
-    if items:
-        yield phrases_of(items, window)
+class Blocks:
+    """The benchmark's distinct (item, window) pairs, stored and dealt by hash.
+
+    An item or a window that many pairs have is dealt like any other, so a block
+    differs from the mean by chance only.
+    """
+
+    def __init__(self, benchmark: DataFrame, window: int, block_words: int) -> None:
+        items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
+        pairs = items.mapInArrow(partial(_windows, window=window), "item string, phrase binary")
+        self.pairs = stored(pairs.distinct(), "phrases")
+        size = self.pairs.agg(F.sum(F.octet_length("phrase") + F.octet_length("item"))).first()[0] or 0
+        self.number = max(1, -(-size // (8 * block_words)))
+
+    def broadcast(self, block: int) -> Broadcast:
+        """One block, for tasks."""
+        own = self.pairs.filter(F.pmod(F.xxhash64("item", "phrase"), F.lit(self.number)) == block)
+        return self.pairs.sparkSession.sparkContext.broadcast(phrases_of(own.toArrow()))
 
 
 @dataclass
@@ -121,10 +154,10 @@ def search(data: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> Shard:
         return shard
 
     vocabulary, symbols = np.unique(hashes, return_inverse=True)
-    at = np.searchsorted(vocabulary, phrases.words)
+    at = np.searchsorted(vocabulary, phrases.vocabulary)
     at[at == len(vocabulary)] = 0
-    known = vocabulary[at] == phrases.words
-    unknown = np.concatenate([[0], np.cumsum(~known)])
+    known = vocabulary[at] == phrases.vocabulary
+    unknown = np.concatenate([[0], np.cumsum(~known[phrases.words])])
     possible = np.flatnonzero(unknown[phrases.starts + phrases.lengths] == unknown[phrases.starts])
     if not len(possible):
         return shard
@@ -132,7 +165,7 @@ def search(data: np.ndarray, offsets: np.ndarray, phrases: Phrases) -> Shard:
     text = np.ones(len(symbols) + rows, np.int64)  # 1 after each document
     text[np.arange(len(symbols)) + row] = symbols + 2
     index = FMIndex(text)
-    low, high = index.search(at + 2, phrases.starts[possible], phrases.lengths[possible])
+    low, high = index.search((at + 2)[phrases.words], phrases.starts[possible], phrases.lengths[possible])
     count = np.maximum(high - low, 0)
     window = np.repeat(possible, count)
     occurrence = np.arange(len(window)) - np.repeat(np.cumsum(count) - count, count)
@@ -158,7 +191,7 @@ def _spans(shard: Shard, row: int) -> list[tuple[int, int]]:
     return list(zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def _scan(batches: Iterator[pa.RecordBatch], phrases) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], phrases: Broadcast) -> Iterator[pa.RecordBatch]:
     phrases = phrases.value
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
@@ -212,21 +245,30 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _by_block(numbered: DataFrame, blocks: Blocks) -> DataFrame:
+    """What all blocks find in (id, text), ids distinct: a row each in the first block's table, then only rows with hits."""
+    id_type = numbered.schema["id"].dataType.simpleString()
+    each = []
+    for k in range(blocks.number):
+        phrases = blocks.broadcast(k)
+        rows = numbered.mapInArrow(partial(_scan, phrases=phrases), f"id {id_type}, {_FOUND}")
+        each.append(stored(rows.filter(F.size("spans") > 0) if k else rows, "found"))
+        phrases.destroy()
+    together = reduce(DataFrame.union, each).groupBy("id").agg(
+        F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+    )
+    return together.mapInArrow(_merged, f"id {id_type}, {_FOUND}")
+
+
 def found(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_words, spans of hit words, items) of each document; ``docs`` needs the id and ``text``."""
-    context = docs.sparkSession.sparkContext
     narrow = docs.select(F.col(id_column).alias("id"), F.col("text").cast("string").alias("text"))
-    id_type = narrow.schema["id"].dataType.simpleString()
-    blocks = [context.broadcast(b) for b in blocks_of(benchmark, window, block_words)] or [context.broadcast(phrases_of([]))]
-    if len(blocks) == 1:
-        return narrow.mapInArrow(partial(_scan, phrases=blocks[0]), f"id {id_type}, {_FOUND}")
+    blocks = Blocks(benchmark, window, block_words)
+    if blocks.number == 1:
+        id_type = narrow.schema["id"].dataType.simpleString()
+        return narrow.mapInArrow(partial(_scan, phrases=blocks.broadcast(0)), f"id {id_type}, {_FOUND}")
     numbered = stored(narrow.select(F.struct(F.monotonically_increasing_id().alias("row"), "id").alias("id"), "text"), "numbered")
-    key = numbered.schema["id"].dataType.simpleString()
-    each = [numbered.mapInArrow(partial(_scan, phrases=b), f"id {key}, {_FOUND}") for b in blocks]
-    together = reduce(DataFrame.union, each).groupBy("id").agg(
-        F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("items")).alias("items")
-    )
-    return together.mapInArrow(_merged, f"id {key}, {_FOUND}").withColumn("id", F.col("id.id"))
+    return _by_block(numbered, blocks).withColumn("id", F.col("id.id"))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **how) -> DataFrame:
@@ -237,57 +279,91 @@ def judged(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", **h
     return all_.mapInArrow(_digest, result).withColumnRenamed("id", id_column)
 
 
-def cut(text: bytes, shard: Shard, row: int, offset: int) -> bytes:
-    """The text without its hit spans; a line break stands for each."""
-    base, out, at = shard.first_word[row], [], 0
-    for start, end in _spans(shard, row):
-        out.append(text[at : shard.word_starts[base + start] - offset])
-        at = shard.word_ends[base + end - 1] - offset
+def cut(text: bytes, spans: list[tuple[int, int]], word_starts: np.ndarray, word_ends: np.ndarray) -> bytes:
+    """The text without the spans of words; a line break stands for each."""
+    out, at = [], 0
+    for start, end in spans:
+        out.append(text[at : word_starts[start]])
+        at = word_ends[end - 1]
     out.append(text[at:])
     return b"\n".join(out)
 
 
-def _cut_all(batches: Iterator[pa.RecordBatch], text_column: str, blocks: list) -> Iterator[pa.RecordBatch]:
+def _with_texts(part: pa.RecordBatch, text_column: str, texts: dict[int, bytes]) -> pa.RecordBatch:
+    """Rows with new texts; those of texts without a word go."""
+    if not texts:
+        return part
+    column = part.column(text_column).to_pylist()
+    for k, text in texts.items():
+        column[k] = text.decode()
+    part = part.set_column(part.schema.get_field_index(text_column), text_column, pa.array(column, pa.string()))
+    empty = [k for k, text in texts.items() if not W.ALNUM[np.frombuffer(text, np.uint8)].any()]
+    return part.take(pa.array(np.setdiff1d(np.arange(len(part)), empty)))
+
+
+def _cut_all(batches: Iterator[pa.RecordBatch], text_column: str, phrases: Broadcast) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in W.chunks(batch, text_column, SHARD_BYTES):
             texts: dict[int, bytes] = {}
             todo = np.arange(j - i)
             while len(todo):  # what a cut joins is searched again
-                changed = set()
-                for block in blocks:
-                    shard = search(data, offsets, block.value)
-                    for k in np.unique(shard.row_items[:, 0]):
-                        if int(todo[k]) in changed:
-                            continue  # its places have moved; the next turn finds the rest
-                        text = data[offsets[k] : offsets[k + 1]].tobytes()
-                        texts[int(todo[k])] = cut(text, shard, k, offsets[k])
-                        changed.add(int(todo[k]))
-                todo = np.array(sorted(changed), np.int64)
+                shard = search(data, offsets, phrases.value)
+                rows = np.unique(shard.row_items[:, 0])
+                for k in rows:
+                    own = slice(shard.first_word[k], shard.first_word[k + 1])
+                    text = data[offsets[k] : offsets[k + 1]].tobytes()
+                    texts[int(todo[k])] = cut(text, _spans(shard, k), shard.word_starts[own] - offsets[k], shard.word_ends[own] - offsets[k])
+                todo = todo[rows]
                 data = np.frombuffer(b"".join(texts[k] for k in todo), np.uint8)
                 offsets = np.cumsum([0, *(len(texts[k]) for k in todo)])
+            yield _with_texts(batch.slice(i, j - i), text_column, texts)
+
+
+def _cut_spans(batches: Iterator[pa.RecordBatch], text_column: str, spans_column: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, j, data, offsets in W.chunks(batch, text_column, SHARD_BYTES):
+            starts, ends = W.runs(W.ALNUM[data], offsets)
+            first = np.cumsum([0, *np.bincount(W.owner(starts, offsets), minlength=j - i)])
             part = batch.slice(i, j - i)
-            if texts:
-                column = part.column(text_column).to_pylist()
-                for k, text in texts.items():
-                    column[k] = text.decode()
-                part = part.set_column(part.schema.get_field_index(text_column), text_column, pa.array(column, pa.string()))
-                empty = [k for k, text in texts.items() if not W.ALNUM[np.frombuffer(text, np.uint8)].any()]
-                part = part.take(pa.array(np.setdiff1d(np.arange(j - i), empty)))
-            yield part
+            texts = {}
+            for k, spans in enumerate(part.column(spans_column).to_pylist()):
+                own = slice(first[k], first[k + 1])
+                text = data[offsets[k] : offsets[k + 1]].tobytes()
+                texts[k] = cut(text, [(s["start"], s["end"]) for s in spans], starts[own] - offsets[k], ends[own] - offsets[k])
+            yield _with_texts(part, text_column, texts)
+
+
+def _cut_by_block(narrow: DataFrame, text: str, blocks: Blocks) -> DataFrame:
+    """Turns over documents that still change: search by all blocks, then one cut of the merged spans."""
+    row, spans = unused(narrow, "__cut_row"), unused(narrow, "__cut_spans")
+    open_ = stored(narrow.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    done = []
+    while True:
+        seen = _by_block(open_.select(F.col(row).alias("id"), F.col(text).alias("text")), blocks)
+        hits = stored(seen.filter(F.size("spans") > 0).select(F.col("id").alias(row), F.col("spans").alias(spans)), "hits")
+        done.append(open_.join(hits, row, "left_anti").drop(row))
+        if hits.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        changing = open_.join(hits, row)
+        open_ = stored(changing.mapInArrow(partial(_cut_spans, text_column=text, spans_column=spans), changing.schema).drop(spans), "cut")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without benchmark passages; columns as in ``docs``.
 
     A hit span is cut from its first word to its last.  A document of nothing
-    else goes; ``n_chars`` of the others is brought up to date.
+    else goes; ``n_chars`` of the others is brought up to date.  What a cut joins
+    is searched again, until nothing is found.
     """
     text = unused(docs, "__text")
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in blocks_of(benchmark, window, block_words)]
     others = [c for c in docs.columns if c != "text"]
     narrow = docs.select(*others, F.col("text").cast("string").alias(text))
-    out = narrow.mapInArrow(partial(_cut_all, text_column=text, blocks=blocks), narrow.schema).withColumn("text", F.col(text))
+    blocks = Blocks(benchmark, window, block_words)
+    if blocks.number == 1:
+        out = narrow.mapInArrow(partial(_cut_all, text_column=text, phrases=blocks.broadcast(0)), narrow.schema)
+    else:
+        out = _cut_by_block(narrow, text, blocks)
+    out = out.withColumn("text", F.col(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*docs.columns)

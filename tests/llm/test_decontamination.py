@@ -91,6 +91,43 @@ def test_cuts_leave_no_passage(documents, benchmark_of):
     assert kept[3]["text"] == texts[3] and kept[4]["text"] is None and kept[5]["text"] == texts[5]
 
 
+def test_cuts_do_not_depend_on_blocks(documents, benchmark_of):
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(30))
+    inner = " ".join(f"q{i}" for i in range(12))
+    halves = inner.split()
+    items = [(i, passage) for i in range(6)] + [(7, inner), (8, "zw zv"), (None, "zv qq")]
+    texts = [" ".join(halves[:6]) + f" {passage} " + " ".join(halves[6:]), passage, f"Before. {passage}! {inner}. After.", "Clean.", None, "", "zw zv qq, é"]
+    texts += [" ".join(rng.choice(["zw", "zv", "qq", "x"]) for _ in range(8)) for _ in range(40)]
+    docs = documents([(i // 2, t) for i, t in enumerate(texts)]).withColumnRenamed("start", "__cut_row")  # repeated ids, a name of its own
+    ways = []
+    for block_words in (1_000_000, 100):
+        out = decontamination.decontaminated(docs, benchmark_of(items), block_words=block_words)
+        assert out.columns == docs.columns
+        ways.append(sorted((r["doc_id"], r["text"] or "", r["n_chars"]) for r in out.collect()))
+    assert ways[0] == ways[1] and 10 < len(ways[0]) < len(texts)
+    assert not any(brute(text, items)[4] for _, text, _ in ways[0])
+
+
+def test_blocks_hold_all_pairs_once(documents, benchmark_of):
+    """A window of many items and an item of many windows are dealt over blocks; none outgrows its share."""
+    long = " ".join(f"w{i}" for i in range(3_000))
+    common = "the same ten words stand in every one of these"
+    items = [(0, long)] + [(i, common) for i in range(1, 3_001)] + [(1, common), (2, None)]
+    blocks = decontamination.Blocks(benchmark_of(items).repartition(4), 10, 10_000)
+    seen, sizes = set(), []
+    for k in range(blocks.number):
+        p = blocks.broadcast(k).value
+        sizes.append(len(p.item_of))
+        for i, (a, n) in enumerate(zip(p.starts, p.lengths, strict=True)):
+            window = p.vocabulary[p.words[a : a + n]].tobytes()
+            own = {(window, p.names[x]) for x in p.item_of[p.item_from[i] : p.item_from[i + 1]]}
+            assert own and not own & seen
+            seen |= own
+    assert len(seen) == sum(sizes) == 2_991 + 3_000 and len({w for w, _ in seen}) == 2_992
+    assert blocks.number >= 6 and max(sizes) < 1.3 * sum(sizes) / blocks.number
+
+
 @settings(max_examples=100)
 @given(st.lists(st.integers(1, 4), max_size=60), st.integers(1, 9))
 def test_index_finds_all_occurrences(text, sample):
