@@ -1,0 +1,70 @@
+"""Posts derived from small tables of their own."""
+
+from __future__ import annotations
+
+import re
+from datetime import date, datetime
+
+import pytest
+from conftest import table
+from pyspark.sql import functions as F
+
+from echograph.sources import derived
+from echograph.sources import posts as P
+
+KINDS = ["view", "click", "signup", "purchase", "error"]
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("tables"))
+    events = [(i, i % 7, KINDS[i % 5], 1.0 * i, datetime(2024, 1, 1 + i % 3, 1, 2, 3), '{"k": %d}' % i) for i in range(200)]
+    spark.createDataFrame(
+        events, "event_id long, user_id long, event_type string, value double, ts timestamp, props string"
+    ).write.parquet(f"{root}/events.parquet")
+    documents = [(i, f"text {i}", "en") for i in range(11)] + [(3, "text 3, again", "de"), (None, "of no id", "en")]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string").write.parquet(f"{root}/documents.parquet")
+    return root
+
+
+def _formatted(df) -> str:
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
+def test_posts_have_the_texts_of_their_own_and_of_their_parents(spark, tables):
+    """13 documents; document 3 is there twice, document 12 not at all."""
+    texts = {i: [f"text {i}"] for i in range(11)} | {3: ["text 3", "text 3, again"]}
+    want = []
+    for i in range(200):
+        parent = i - 1 - i % 97
+        kind = KINDS[i % 5]
+        quotes = kind == "view" or (kind == "signup" and i % 10 == 0)
+        embedded = texts.get(parent % 13, [None]) if parent >= 0 and (quotes or kind == "click") else [None]
+        for own in texts.get(i % 13, [None]):
+            for other in embedded:
+                want.append((str(i), own, other if quotes else None, other if kind == "click" else None))
+    found = derived.posts(spark, tables).select("id_str", "text", F.col("quoted_status.text").alias("q"), F.col("retweeted_status.text").alias("r"))
+    assert table(found) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
+def test_a_post_with_a_text_is_not_moved(spark, tables):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = _formatted(derived.posts(spark, tables))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"\n\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", text)
+    assert moved and not any("p_text#" in columns or "p_found#" in columns for columns in moved)
+
+
+def test_days_lie_apart_and_are_written_where_they_are(spark, tables, tmp_path):
+    posts = derived.posts(spark, tables)
+    days = posts.groupBy(F.spark_partition_id()).agg(F.count_distinct("day").alias("n"))
+    assert {row["n"] for row in days.collect()} == {1}
+    template = P.write_days(posts, str(tmp_path / "days"), by_day=True)
+    back = P.read_days(spark, template, ["20240101", "20240102", "20240103"])
+    columns = ["id_str", "text", "user", "entities", "retweeted_status", "quoted_status", "day"]
+    assert table(back, *columns) == table(posts, *columns)
+    assert {row[0] for row in back.select("day").distinct().collect()} == {date(2024, 1, d) for d in (1, 2, 3)}
+    assert len(list((tmp_path / "days").glob("day=*/*.gz"))) <= posts.rdd.getNumPartitions()
