@@ -217,3 +217,9 @@ def test_files_that_lose_their_rest_are_found(spark, tmp_path):
     lines = {r["path"].rsplit("/", 1)[1]: r["lines"] for r in lost}
     assert 0 < lines["part.json.gz"] < 3000 and lines["bad.json.gz"] == 0
     assert P.lost_files(spark, template, ["20220214"]).collect() == [] and P.lost_files(spark, template, ["20220301"]).collect() == []
+
+
+def test_json_rows_are_compressed(spark, path):
+    tables.write_json(spark.createDataFrame([("S1", "b", 2)], PAIR), path("rows"))
+    assert {p.suffix for p in Path(path("rows")).glob("part-*")} == {".gz"}
+    assert table(tables.read_json(spark, path("rows"), PAIR)) == [("S1", "b", 2)]
