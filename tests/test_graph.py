@@ -120,3 +120,12 @@ def test_connected_and_original_cover_all_posts(spark):
 def test_filtered_posts_keep_their_joined_tags(spark):
     df = keyword_filter(flat(spark, post("1", "a", "game", ["x"], **reply_to("b"))), ["game"])
     assert table(G.interaction_rows(df), "text_hashtag") == [("x",)]
+
+
+def test_topic_edges_move_no_text(spark):
+    rows = G.interaction_rows(flat(spark, post("1", "a", "x", **reply_to("b"))))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    text = G.topic_edges(rows, ["x"])._jdf.queryExecution().explainString(mode)
+    # Its digest has the name; the scanned column does not get into an exchange.
+    sent = [line for line in text.splitlines() if "Exchange" in line]
+    assert sent and "sha2(cast(text#" in text
