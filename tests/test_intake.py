@@ -184,3 +184,29 @@ def test_flat_form_of_the_tables_equals_flattened_posts(spark):
     direct = derived.flat_posts(spark, SF_DIR)
     assert nested.columns == direct.columns
     assert table(nested) == table(direct)
+
+
+@pytest.mark.parametrize("mode", ["row_per_day", "post_id"])
+def test_dedup_moves_rows_without_their_texts(spark, mode):
+    """2,000 different posts of one text: rows travel without it."""
+    rows = flat(spark, post("0", "a", "x")).drop("id_str").crossJoin(spark.range(2000).selectExpr("CAST(id AS STRING) AS id_str"))
+    df = rows.select(*FLAT.names, "day")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        text = I.dedup_posts(df.unionByName(df), mode)._jdf.queryExecution().explainString(formatted)
+        moved = [set(re.findall(r"(\w+)#", m)) for m in re.findall(r"\n\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", text)]
+        found = table(I.dedup_posts(df.unionByName(df), mode))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert any("text" in columns for columns in moved)
+    # With a text goes only what it is found by.
+    assert all("user_id_str" not in columns for columns in moved if "text" in columns)
+    assert found == table(df)
+
+
+@pytest.mark.parametrize("mode", ["row_per_day", "post_id"])
+def test_dedup_tells_empty_and_unknown_texts_apart(spark, mode):
+    df = flat(spark, post("1", "a", ""), post("2", "a", None), post("3", "a", "x"), post("3", "a", "x"), post("4", "a", None), post("4", "a", None))
+    assert table(I.dedup_posts(df, mode), "id_str", "text") == [("1", ""), ("2", None), ("3", "x"), ("4", None)]
+    assert table(I.dedup_posts(df.drop("text"), mode), "id_str") == [("1",), ("2",), ("3",), ("4",)]
