@@ -4,7 +4,9 @@ import pytest
 from conftest import embedded, flat, pairs, post, reply_to, table
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from echograph.functions.text import mentions
 from echograph.operators import graph as G
 from echograph.operators import skew
 from echograph.operators.intake import keyword_filter
@@ -129,3 +131,8 @@ def test_topic_edges_move_no_text(spark):
     # Its digest has the name; the scanned column does not get into an exchange.
     sent = [line for line in text.splitlines() if "Exchange" in line]
     assert sent and "sha2(cast(text#" in text
+
+
+def test_hashtags_are_searched_before_texts(spark):
+    condition = str(mentions(F.col("long"), F.col("short"), ["x"]))
+    assert condition.index("short") < condition.index("long")
