@@ -9,6 +9,7 @@ import pytest
 from conftest import table
 from pyspark.sql import functions as F
 
+from echograph.operators import intake as I
 from echograph.sources import derived
 from echograph.sources import posts as P
 
@@ -68,3 +69,15 @@ def test_days_lie_apart_and_are_written_where_they_are(spark, tables, tmp_path):
     assert table(back, *columns) == table(posts, *columns)
     assert {row[0] for row in back.select("day").distinct().collect()} == {date(2024, 1, d) for d in (1, 2, 3)}
     assert len(list((tmp_path / "days").glob("day=*/*.gz"))) <= posts.rdd.getNumPartitions()
+
+
+def test_posts_with_keys_give_the_same_rows(spark, tables):
+    """Of documents that repeat or are absent, and of equal texts."""
+    raw, texts = derived.keyed_posts(spark, tables)
+    posts = derived.posts(spark, tables)
+    for step in (I.flatten_posts, I.unnest_embedded):
+        assert step(raw, texts).columns == step(posts).columns and table(step(raw, texts)) == table(step(posts))
+    terms = ["text 3", "signup"]
+    assert table(I.intake(raw, terms, texts=texts)) == table(I.intake(posts, terms))
+    assert table(I.intake_counts(raw, terms, texts=texts)) == table(I.intake_counts(posts, terms))
+    assert texts.count() == texts.select("text").distinct().count() == 13

@@ -210,3 +210,23 @@ def test_dedup_tells_empty_and_unknown_texts_apart(spark, mode):
     df = flat(spark, post("1", "a", ""), post("2", "a", None), post("3", "a", "x"), post("3", "a", "x"), post("4", "a", None), post("4", "a", None))
     assert table(I.dedup_posts(df, mode), "id_str", "text") == [("1", ""), ("2", None), ("3", "x"), ("4", None)]
     assert table(I.dedup_posts(df.drop("text"), mode), "id_str") == [("1",), ("2",), ("3",), ("4",)]
+
+
+def test_rows_get_the_texts_of_their_keys(spark):
+    rows = spark.createDataFrame([("1", "a"), ("2", "a"), ("3", None), ("4", "none"), ("5", "b"), ("6", None)], "id_str string, text string")
+    texts = spark.createDataFrame([("a", "x"), ("b", ""), ("c", "y")], "text_key string, text string")
+    assert table(I.with_texts(rows, texts)) == [("1", "x"), ("2", "x"), ("3", None), ("4", None), ("5", ""), ("6", None)]
+    assert I.with_texts(rows, texts).columns == rows.columns
+
+
+def test_rows_without_a_key_are_dealt_evenly(spark):
+    rows = spark.range(8000).selectExpr("CAST(id AS STRING) AS id_str", "IF(id < 10, CAST(id AS STRING), NULL) AS text")
+    texts = spark.range(10).selectExpr("CAST(id AS STRING) AS text_key", "concat('text ', id) AS text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = I.with_texts(rows, texts).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) == 8000 and max(sizes) < 2000

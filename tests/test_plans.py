@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from contextlib import ExitStack
 
 import pytest
@@ -45,6 +46,18 @@ def test_no_cross_joins_and_no_python(spark, name, no_broadcast):
         assert banned not in text
 
 
+ONE_TEXT = ["dedup_posts_by_id"]
+
+
+@pytest.mark.parametrize("name", ONE_TEXT)
+def test_a_text_moves_by_itself(spark, name, no_broadcast):
+    """Texts go to the rows that have them; no post or row is moved with a text, and no text once for each day."""
+    text = plan(contract.queries()[name](spark, SF_DIR))
+    moved = [set(re.findall(r"(\w+)#", m)) for m in re.findall(r"\n\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]", text)]
+    texts = [columns for columns in moved if columns & {"text", "first", "found"}]
+    assert texts and all(columns <= {"text_key", "_groupingexpression", "text", "lang", "first", "valueSet", "_text_digest", "_text_part"} for columns in texts)
+
+
 def test_latest_rows_are_picked_before_the_shuffle(spark):
     posts = derived.own_posts(spark, SF_DIR)
     cand = spark.createDataFrame([("1",)], "user_id_str string")
