@@ -46,7 +46,7 @@ def test_no_cross_joins_and_no_python(spark, name, no_broadcast):
         assert banned not in text
 
 
-ONE_TEXT = ["dedup_posts_by_id", "dedup_posts", "unnest_embedded", "flatten_posts", "intake_counts", "keyword_filter"]
+ONE_TEXT = ["dedup_posts_by_id", "dedup_posts", "unnest_embedded", "flatten_posts", "intake_counts", "keyword_filter", "intake"]
 
 
 @pytest.mark.parametrize("name", ONE_TEXT)
