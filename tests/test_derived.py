@@ -81,3 +81,21 @@ def test_posts_with_keys_give_the_same_rows(spark, tables):
     assert table(I.intake(raw, terms, texts=texts)) == table(I.intake(posts, terms))
     assert table(I.intake_counts(raw, terms, texts=texts)) == table(I.intake_counts(posts, terms))
     assert texts.count() == texts.select("text").distinct().count() == 13
+
+
+def test_posts_of_one_text_lie_together_where_days_need_not_lie_apart(spark, tables, tmp_path, monkeypatch):
+    monkeypatch.setattr(derived, "FILE_POSTS", 1)
+    apart = derived.posts(spark, tables)
+    posts = derived.posts(spark, tables, days_apart=False)
+    parts = posts.filter("text IS NOT NULL").select("text", F.spark_partition_id().alias("at"))
+    places = parts.groupBy("text").agg(F.count_distinct("at").alias("n")).collect()
+    assert {row["n"] for row in places} == {1} and posts.rdd.getNumPartitions() == 8
+    columns = ["id_str", "text", "user", "entities", "retweeted_status", "quoted_status", "day"]
+    want = table(apart, *columns)
+    assert table(posts, *columns) == want
+    template = P.write_days(posts, str(tmp_path / "days"), by_day=True)
+    assert table(P.read_days(spark, template, ["20240101", "20240102", "20240103"]), *columns) == want
+
+
+def test_few_posts_are_few_files(spark, tables):
+    assert derived.posts(spark, tables, days_apart=False).rdd.getNumPartitions() == 1
