@@ -157,3 +157,12 @@ def test_sentiment_job_with_rules_and_hits_job_with_accents(spark, data, path):
     assert scores[0]["b"] == scores[1]["b"] == 0 and scores[1]["star"] < scores[0]["star"] < 0
     jobs.hits_job(spark, data, path("hits"), ["GAME"], rounds=1, unicode_case=True)
     assert spark.read.csv(path("hits") + "/authorities").first()[0] == "star"
+
+
+def test_posts_of_a_job_are_written_where_they_are(spark, tmp_path):
+    rows = spark.range(300).selectExpr("CAST(id AS STRING) AS id_str", "date_add(date '2022-02-14', CAST(id % 2 AS INT)) AS day").repartition(3)
+    back = jobs._by_day(rows, str(tmp_path / "posts"))
+    assert table(back, "id_str", "day") == table(rows, "id_str", "day")
+    files = {day.name: [f.name for f in day.glob("*.parquet")] for day in (tmp_path / "posts").glob("day=*")}
+    assert {day: len(names) for day, names in files.items()} == {"day=2022-02-14": 3, "day=2022-02-15": 3}
+    assert all(".zstd." in name for names in files.values() for name in names)
